@@ -25,7 +25,16 @@ def local_session(app: str = "corpusmill", cpus: int = 8) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster installs it, or sets PYTHONPATH)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
