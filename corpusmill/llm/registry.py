@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, tokens
+from corpusmill.llm import packing, syntax, tokens
 from corpusmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ def p9_certificate(spark, d):
 
     sizes, windows = cut(_sizes(spark, d)), table(spark, d, "context_windows")
     return packing.certificate(sizes, windows, packing.pack(sizes, windows))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return syntax.found(table(spark, d, "parsed_files"))
+
+
+@query("p6_report")
+def p6_report(spark, d):
+    return syntax.parsed(table(spark, d, "parsed_files"))
+
+
+@query("p6_rates")
+def p6_rates(spark, d):
+    return syntax.rates(table(spark, d, "parsed_files"))
