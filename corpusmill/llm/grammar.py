@@ -13,19 +13,32 @@ from functools import lru_cache
 
 from corpusmill.llm import lexers
 
-PAREN, SQUARE, BRACE, KEYED = 0xE000, 0xE100, 0xE200, 0xE300
 MEMO = 200_000
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
-_KIND = {"(": PAREN, "[": SQUARE, "{": BRACE}
+_FIRST = 0x80  # reduced groups are characters below 256, which keeps character classes small and quick to compile
+
+
+class Layout:
+    """Characters for the verdicts on paren, square, brace and keyword groups: as many bits each as the grammar needs."""
 
+    def __init__(self, *widths: int) -> None:
+        self.bases, at = [], _FIRST
+        for w in widths:
+            self.bases.append((at, 1 << w))
+            at += 1 << w
+        assert at <= 256, "too many verdicts"
 
-def having(base: int, bits: int, width: int = 8) -> str:
-    """A character class of the reduced groups that can be one of ``bits``."""
-    return "[" + "".join(chr(base + k) for k in range(1 << width) if k & bits) + "]"
+    def having(self, kind: int, bits: int) -> str:
+        """A character class of the groups of a kind that can be one of ``bits``."""
+        base, n = self.bases[kind]
+        return "[" + "".join(chr(base + k) for k in range(n) if k & bits) + "]"
 
+    def any_of(self, *kinds: int) -> str:
+        return "[" + "".join(f"{chr(self.bases[k][0])}-{chr(sum(self.bases[k]) - 1)}" for k in kinds) + "]"
 
-def any_of(*bases: int) -> str:
-    return "[" + "".join(f"{chr(b)}-{chr(b + 255)}" for b in bases) + "]"
+
+PAREN, SQUARE, BRACE, KEYED = range(4)
+_KIND = {"(": PAREN, "[": SQUARE, "{": BRACE}
 
 
 class Grammar:
@@ -36,6 +49,7 @@ class Grammar:
     CODES: dict[str, str]
     keep_lines = False
     WORD, NUMBER = "i", "l"
+    layout: Layout
 
     def __init__(self) -> None:
         self.line_memo: dict[str, str] = {}
@@ -74,7 +88,7 @@ class Grammar:
         if c is None:
             if len(self.group_memo) > MEMO:
                 self.group_memo.clear()
-            c = self.group_memo[g] = chr(_KIND[g[0]] + self.classify(g[0], g[1:-1]))
+            c = self.group_memo[g] = chr(self.layout.bases[_KIND[g[0]]][0] + int(self.classify(g[0], g[1:-1])))
         return c
 
     def classify(self, kind: str, inner: str) -> int:
@@ -112,7 +126,9 @@ def _full(p: str) -> re.Pattern:
     return re.compile(p)
 
 
-P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
+def chain(unit: str, operators: str) -> str:
+    """Units joined by operators or by the middle of a conditional."""
+    return rf"(?:{unit}(?:(?:{operators}|\?{unit}(?:{operators}{unit})*:){unit})*)"
 
 
 # ---------------------------------------------------------------------------------- JavaScript, TypeScript
@@ -120,6 +136,7 @@ class Script(Grammar):
     """ECMAScript, with types if ``typed``. Line breaks that can end a statement stay as codes."""
 
     keep_lines = True
+    layout = Layout(5, 2, 5)
     TOKEN = re.compile(
         r"\??\.\s*#?[A-Za-z_$][\w$]*|\?\.(?=[(\[])|\.\.\.|@[A-Za-z_$][\w$.]*|#?[^\W\d][\w$]*(?=\s*:(?!:))|#?(?:[^\W\d]|\$)[\w$]*|\.?\d[\w.]*(?:(?<=[eE])[+-]\d+)?"
         r"|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|=>|==|!=|<=|&&|\|\||\?\?|\+\+|--|\*\*|<<|[-+*/%&|^]=|\?(?=\s*:)|\s+|[\s\S]"
@@ -141,25 +158,25 @@ class Script(Grammar):
             self.CODES |= _codes(g="static get set public private protected readonly abstract declare override accessor", j="interface", y="type", z="namespace module", e="enum", x="extends implements", k="keyof infer unique is asserts")
         else:
             self.CODES |= {"enum": "e"}
+        having, any_of = self.layout.having, self.layout.any_of
+        P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
         ID = "[iagmOyzjk]" if typed else "[iagmO]"
         WORD = "[a-zA-Z]"
         args, params, forh, expr = (having(PAREN, b) for b in (1, 2, 4, 8))
         sq = having(SQUARE, 1)
-        block, obj, cls, names, cases, shape, enum = (having(BRACE, b) for b in (1, 2, 4, 8, 16, 32, 64))
-        ty = self._types(ID, params, sq, shape, expr) if typed else ""
+        block, obj, cls, cases, shape = (having(BRACE, b) for b in (1, 2, 4, 8, 16))
+        names = enum = obj
+        ty = self._types(ID, params, S_ANY, shape, having(PAREN, 16)) if typed else ""
         ret = rf"(?::{ty})?" if typed else ""
         func = rf"a?f\*?{ID}?{params}{ret}\n?{block}"
         klass = rf"K(?:(?!x){ID})?(?:x[{ID[1:-1]}]p*(?:{args})?(?:,{ID}p*)*)*\n?{cls}"
         pre = rf"(?:[!+uNw]|a?(?:{ID}|{params}){ret}A)"
         prim = rf"(?:{func}|{klass}|M(?:p|{args})|(?<=A){block}|[lnst]|{expr}|{sq}|{obj}|{ID})"
-        post = rf"(?:p|{args}|{sq}|t|u" + (r"|!(?=[p;,.\n)\]}:?=o+*<>|&]|$|" + args[:-1][0:0] + sq + r"))" if typed else ")")
+        post = rf"(?:p|{args}|{sq}|t|u" + (r"|!(?=[p;,\n:?=o+*<>|&]|$|" + S_ANY + r"))" if typed else ")")
         as_ = rf"(?:m{ty})*" if typed else ""
         unit = rf"{pre}*{prim}{post}*{as_}"
-        seq = rf"{unit}(?:[o+*<>|&=]{{1,3}}{unit})*" if False else rf"{unit}(?:(?:[o+*<|&=]|>{{1,3}}=?){unit})*"
-        e0 = seq
-        e1 = rf"{seq}(?:\?{e0}:{seq})*"
-        E = rf"(?:{seq}(?:\?{e1}:{seq})*)"
-        EL = rf"{E}(?:,{E})*"
+        E = chain(unit, r"(?:[o+*<|&=]|>{1,3}=?)")
+        EL = chain(unit, r"(?:[o+*<|&=,]|>{1,3}=?)")
         end = r"(?:[;\n]|$)"
         bind = rf"(?:{ID}|{sq}|{obj})"
         colon = rf"(?:!?:{ty})?" if typed else ""
@@ -167,7 +184,7 @@ class Script(Grammar):
         fdecl = rf"a?f\*?{ID}{params}{ret}\n?{block}"
         kdecl = rf"(?:q(?:{args})?\n?)*g*K{ID}(?:x{ID}p*(?:{args})?(?:,{ID}p*)*)*\n?{cls}"
         tdecl = rf"g*(?:j{ID}(?:x{ID}p*(?:,{ID}p*)*)?\n?{shape}|y{ID}={ty}{end}|v?e{ID}\n?{enum}|z(?:{ID}p*|s)\n?{block}|a?f\*?{ID}{params}{ret}{end}|{var}{end})" if typed else r"(?!)"
-        mods = rf"(?:M[y]?(?:s|(?:{ID}|\*m{ID}|{names})(?:,(?:\*m{ID}|{names}))?ms){end}|X[y]?(?:{names}(?:ms)?{end}|\*(?:m{ID})?ms{end}|d(?:{fdecl}|a?f\*?{params}{ret}{block}|{kdecl}|K(?:x{ID}p*)?{cls}|{E}{end})|(?={ 'v' }){var}{end}|{fdecl}|{kdecl}|{tdecl}))"
+        mods = rf"(?:M[y]?(?:s|(?:{ID}|\*m{ID}|{names})(?:,(?:\*m{ID}|{names}))?ms){end}|X[y]?(?:{names}(?:ms)?{end}|\*(?:m{ID})?ms{end}|d(?:{fdecl}|a?f\*?{params}{ret}{block}|{kdecl}|K(?:x{ID}p*)?{cls}|{E}{end})|{var}{end}|{fdecl}|{kdecl}|{tdecl}))"
         simple = rf"(?:{var}|r(?:{EL})?|H{EL}|B{ID}?|G|{EL})"
         b0 = rf"(?:{block}|T{block}\n?(?:C(?:{params})?{block}\n?(?:Y{block})?|Y{block})|S{expr}\n?{cases}|;|{simple}{end})"
         head = rf"(?:W{expr}\n?|F[w]?{forh}\n?|{ID}:\n?)*"
@@ -181,28 +198,24 @@ class Script(Grammar):
         self.for_ = _full(rf"(?:(?:{var}|{EL})?;(?:{EL})?;(?:{EL})?|v?{bind}{colon}(?:O|o){EL}|{unit}(?:O|o){EL})")
         self.square = _full(rf",*(?:~?{E}(?:,+~?{E})*,*)?")
         key = rf"(?:{WORD}|[sn]|{sq})"
-        member = rf"(?:~{E}|{key}:{E}|{ID}(?:={E})?|(?:[ag]|(?<![ag])\*|a\*)?(?:g)?{key}{params}{ret}{block})"
+        member = rf"(?:~{E}|{key}:{E}|y?(?:{ID}|[sd])(?:={E}|m{WORD})?|(?:[ag]|\*|a\*)?{key}{params}{ret}{block})"
         self.object = _full(rf"(?:{member}(?:,{member})*,?)?")
         field = rf"{key}(?:\?|!)?(?::{ty})?(?:={E})?{end}" if typed else rf"{key}(?:={E})?{end}"
         method = rf"a?\*?(?:{key}|g(?={key})){params}{ret}\n?(?:{block}" + (rf"|{end})" if typed else ")")
         self.klass = _full(rf"(?:[;\n]|(?:q(?:{args})?\n?)*[ga]*?(?:{method}|{field}|(?<=g){block}))*+")
-        self.names = _full(rf"(?:y?{WORD}(?:m{WORD})?(?:,y?{WORD}(?:m{WORD})?)*,?)?")
         self.cases = _full(rf"\n*(?:(?:c{EL}|d):(?:{stmt})*)*+\n*")
         if typed:
             mem = rf"g*(?:{key}?\??{params}{ret}|N{params}{ret}|{key}\??(?::{ty})?|{S_ANY}\??:{ty})"
             self.shape_ = _full(rf"[;,\n]*(?:{mem}(?:[;,\n]+{mem})*[;,\n]*)?")
-            self.enum = _full(rf"(?:{key}(?:={E})?(?:,{key}(?:={E})?)*,?)?")
             self.index = _full(rf"(?:{ID}:{ty}|{ID}o{ty}|{ty}(?:,{ty})*,?)")
             self.types_only = _full(rf"(?:~?(?:{ID}\??:)?{ty}(?:,~?(?:{ID}\??:)?{ty})*,?)?")
             inside = "itklnspx,|&=.:?A!\\[\\]y" + "agmOzjk" + S_ANY[1:-1] + B_ANY[1:-1] + P_ANY[1:-1]
             self.generic = re.compile(rf"(?<=[{ID[1:-1]}pfN{S_ANY[1:-1]}=,(\n])<[{inside}]*>(?=[(),;{{}}\[\]=:>|&\npAx?!.{P_ANY[1:-1]}{B_ANY[1:-1]}{S_ANY[1:-1]}i]|$)|^<[{inside}]*>")
 
     @staticmethod
-    def _types(ID: str, params: str, sq: str, shape: str, expr: str) -> str:
-        sq_any = "[" + chr(SQUARE + 1) + "-" + chr(SQUARE + 255) + "]"
-        part = rf"(?:[k!]|g(?=[{ID[1:-1]}k{SQUARE and chr(SQUARE + 1)}]))*(?:{params}A)*(?:{ID}p*|[lnst]|{shape}|{sq_any}|{having(PAREN, 16)}|!{ID}p*)(?:{sq_any})*"
-        one = rf"\|?(?:{ID}k(?={ID}))?{part}(?:[|&]{part})*"
-        return rf"(?:{one}(?:x{one}\?{one}:{one})?)"
+    def _types(ID: str, params: str, square: str, shape: str, paren: str) -> str:
+        part = rf"(?:[k!]|g(?=[{ID[1:-1]}k{square[1:-1]}]))*(?:{params}A)*(?:{ID}p*|[lnst]|{shape}|{square}|{paren})(?:{square})*"
+        return rf"(?:\|?(?:{ID}k(?={ID}))?{part}(?:[|&x?:]{part})*)"
 
     def token(self, t: str) -> str:
         c = t[0]
@@ -285,11 +298,11 @@ class Script(Grammar):
             if self.typed:
                 mask |= bool(self.index.fullmatch(flat)) << 1 | (not flat) << 1
             return mask
-        mask = bool(self.block.fullmatch(inner)) | bool(self.object.fullmatch(flat)) << 1 | bool(self.klass.fullmatch(inner)) << 2 | bool(self.names.fullmatch(flat)) << 3
+        mask = bool(self.block.fullmatch(inner)) | bool(self.object.fullmatch(flat)) << 1 | bool(self.klass.fullmatch(inner)) << 2
         if not flat or "c" in flat or "d" in flat:
-            mask |= bool(self.cases.fullmatch(inner)) << 4
+            mask |= bool(self.cases.fullmatch(inner)) << 3
         if self.typed:
-            mask |= bool(self.shape_.fullmatch(inner)) << 5 | bool(self.enum.fullmatch(flat)) << 6
+            mask |= bool(self.shape_.fullmatch(inner)) << 4
         return mask
 
     def whole(self, codes: str) -> bool:
@@ -299,6 +312,7 @@ class Script(Grammar):
 # ------------------------------------------------------------------------------------------------- Java
 class Java(Grammar):
     language = "java"
+    layout = Layout(5, 2, 5)
     TOKEN = re.compile(r"\.\s*(?:[^\W\d][\w$]*|\*)|::\s*[^\W\d]\w*|@\s*[^\W\d][\w.]*|\.\.\.|default(?=\s*(?::|->))|[^\W\d][\w$]*|\d[\w.]*(?:(?<=[eE])[+-]\d+)?|\.\d[\w]*|<<=|[-+*/%&|^]=|->|==|!=|<=|&&|\|\||\+\+|--|<<|[^\s]")
     CODES = {
         **_codes(g="public private protected static final abstract synchronized native transient volatile strictfp sealed default", K="class interface enum @interface record", x="extends implements permits", w="throws", N="new", k="package", M="import", I="if", F="for", W="while", D="do", E="else", T="try", C="catch", Y="finally", S="switch", c="case", r="return yield", h="throw", B="break continue", a="assert", l="true false null", o="instanceof"),
@@ -324,18 +338,18 @@ class Java(Grammar):
 
     def __init__(self) -> None:
         super().__init__()
+        having, any_of = self.layout.having, self.layout.any_of
+        P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
         args, params, forh, expr, res = (having(PAREN, b) for b in (1, 2, 4, 8, 16))
         sq, sqe = having(SQUARE, 1), having(SQUARE, 2)
-        block, init, cls, cases, enum = (having(BRACE, b) for b in (1, 2, 4, 16, 32))
+        block, init, cls, cases, enum = (having(BRACE, b) for b in (1, 2, 4, 8, 16))
         note = rf"(?:q{P_ANY}?)*"
         ty = rf"{note}ip*{sqe}*"
-        pre = rf"(?:[!+u]|{expr}(?=[ilsNS!{PAREN and P_ANY[1:-1]}])|(?:i|{params})A)"
+        pre = rf"(?:[!+u]|{expr}(?=[ilsNS!{P_ANY[1:-1]}])|(?:i|{params})A)"
         prim = rf"(?:Nip*(?:{args}(?:{cls})?|(?:{sq}|{sqe})+(?:{init})?)|S{expr}{cases}|(?<=A){block}|i|[ls]|{expr})"
         unit = rf"{pre}*{prim}(?:p|{args}|{sq}|u|{sqe}p)*"
-        seq = rf"{unit}(?:(?:[o+<&=]|>{{1,3}}=?)(?:g*){unit})*"
-        e1 = rf"{seq}(?:\?{seq}:{seq})*"
-        E = rf"(?:{seq}(?:\?{e1}:{seq})*)"
-        EL = rf"{E}(?:,{E})*"
+        E = chain(unit, r"(?:(?:[o+<&=]|>{1,3}=?)g?)")
+        EL = chain(unit, r"(?:(?:[o+<&=,]|>{1,3}=?)g?)")
         decl = rf"i{sqe}*(?:=(?:{E}|{init}))?"
         decls = rf"{decl}(?:,{decl})*"
         kind = rf"{note}(?:g{note})*"
@@ -347,7 +361,7 @@ class Java(Grammar):
         ifs = rf"I{expr}{head}(?:I{expr})*{b0}(?:EI{expr}{head}{b0})*(?:E{head}{b0})?"
         stmt = rf"(?:{types}|{local}|{head}(?:{ifs}|D{b0}W{expr};|{b0}))"
         self.block = _full(rf"(?:{stmt})*+")
-        self.args, self.expr = _full(rf"(?:{E}(?:,{E})*)?"), _full(rf"(?:{E}|{ty}(?:&{ty})*)")
+        self.args, self.expr = _full(rf"(?:{EL})?"), _full(rf"(?:{E}|{ty}(?:&{ty})*)")
         pm = rf"{kind}(?:{ty}(?:o{ty})*~?)?i{sqe}*"
         self.params = _full(rf"(?:{pm}(?:,{pm})*)?")
         self.for_ = _full(rf"(?:(?:{kind}{ty}{decls}|{EL})?;(?:{E})?;(?:{EL})?|{kind}{ty}i:{E})")
@@ -382,7 +396,7 @@ class Java(Grammar):
             return mask | ((";" in inner or ":" in inner) and bool(self.for_.fullmatch(inner))) << 2
         if kind == "[":
             return 2 if not inner else int(bool(self.square.fullmatch(inner)))
-        return bool(self.block.fullmatch(inner)) | bool(self.init.fullmatch(inner)) << 1 | bool(self.klass.fullmatch(inner)) << 2 | bool(self.cases.fullmatch(inner)) << 4 | bool(self.enum.fullmatch(inner)) << 5
+        return bool(self.block.fullmatch(inner)) | bool(self.init.fullmatch(inner)) << 1 | bool(self.klass.fullmatch(inner)) << 2 | bool(self.cases.fullmatch(inner)) << 3 | bool(self.enum.fullmatch(inner)) << 4
 
     def whole(self, codes: str) -> bool:
         return bool(self.file.fullmatch(codes)) or bool("<" in codes and self.file.fullmatch(self._generics(codes)))
@@ -391,6 +405,7 @@ class Java(Grammar):
 # --------------------------------------------------------------------------------------------------- Go
 class Go(Grammar):
     language = "go"
+    layout = Layout(4, 1, 5)
     keep_lines = True
     TOKEN = re.compile(r"\.\s*[^\W\d]\w*|\.(?=\()|\.\.\.|[^\W\d]\w*|\d[\w.]*(?:(?<=[eEpP])[+-]\d+)?|\.\d\w*|&\^=|<<=|>>=|[-+*/%&|^:=!<>]=|<-|&&|\|\||\+\+|--|<<|>>|&\^|[^\s]")
     CODES = {
@@ -420,6 +435,8 @@ class Go(Grammar):
 
     def __init__(self) -> None:
         super().__init__()
+        having, any_of = self.layout.having, self.layout.any_of
+        P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
         args, params, group = (having(PAREN, b) for b in (1, 2, 4))
         sq = having(SQUARE, 1)
         block, lit, fields, methods, cases = (having(BRACE, b) for b in (1, 2, 4, 8, 16))
@@ -430,7 +447,7 @@ class Go(Grammar):
         prim = rf"(?:f{params}(?:{ty})?{block}|f{params}(?:{ty})?|i|[ls]|{args}|t{fields}|n{methods})"
         unit = rf"(?:[!+*wh]|m?{sq})*{prim}(?:p|{args}|{sq}|{lit})*"
         E = rf"{unit}(?:[o+*|w]{unit})*"
-        EL = rf"{E}(?:,{E})*"
+        EL = rf"(?:{unit}(?:[o+*|w,]{unit})*)"
         simple = rf"{EL}(?:[=D]{EL}|u)?"
         vspec = rf"i(?:,i)*(?:(?!=){ty})?(?:={EL})?"
         tspec = rf"i(?:{sq})?=?{ty}"
@@ -469,6 +486,7 @@ class Go(Grammar):
 # ------------------------------------------------------------------------------------------------- Rust
 class Rust(Grammar):
     language = "rust"
+    layout = Layout(5, 1, 6)
     TOKEN = re.compile(r"\.\s*(?:[^\W\d]\w*|\d+)|::\s*<|::\s*[^\W\d]\w*|'[A-Za-z_]\w*|[^\W\d]\w*!(?=\s*[(\[{A-Za-z_])(?!\s*=)|r#[^\W\d]\w*|[^\W\d]\w*|\d[\w]*(?:\.\d[\w]*)?(?:(?<=[eE])[+-]\d+)?|\.\.=|\.\.\.|\.\.|<<=|>>=|[-+*/%&|^]=|->|=>|==|!=|<=|>=(?!>)|&&|\|\||<<|::|[^\s]")
     CODES = {
         **_codes(f="fn", v="let", m="mut ref", q="const static", g="pub", u="unsafe async move extern", d="dyn impl", w="where", F="for", n="in", I="if", E="else", M="match", W="while", O="loop", r="return", B="break continue", T="struct union", e="enum", t="trait", y="type", z="mod", U="use", l="true false", X="extern"),
@@ -493,9 +511,12 @@ class Rust(Grammar):
 
     def __init__(self) -> None:
         super().__init__()
+        having, any_of = self.layout.having, self.layout.any_of
+        P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
         args, params, vis = (having(PAREN, b) for b in (1, 2, 4))
         sq = having(SQUARE, 1)
-        block, lit, fields, arms, items, uses, variants = (having(BRACE, b) for b in (1, 2, 4, 8, 16, 32, 64))
+        block, lit, fields, arms, items, uses = (having(BRACE, b) for b in (1, 2, 4, 8, 16, 32))
+        variants = uses
         ptypes, pats = having(PAREN, 8), having(PAREN, 16)
         any_ = any_of(PAREN, SQUARE, BRACE)
         path = r"(?:c|P)?i(?:P)*"
@@ -503,8 +524,8 @@ class Rust(Grammar):
         tbase = rf"(?:{path}(?:{ptypes}(?:R{tpre}{path})?)?|{ptypes}|{sq}|!|u*f{ptypes}(?:R{tpre}(?:{path}|{ptypes}))?|Z{any_})"
         ty = rf"(?:\??{tpre}{tbase}(?:\+(?:\??{tpre}{tbase}|L))*)"
         pat = rf"(?:[&*mqils@|D\-PcL]|{pats}|{sq}|(?<=[iP]){fields}|(?<=[iP]){lit})+"
-        par = rf"\|(?:{pat}(?::{ty})?(?:,{pat}(?::{ty})?)*,?\|)?(?:R{ty})?"
-        blocklike = rf"(?:(?:L:)?(?:u*{block}|O{block}|W(?:v{pat}=)?§{block}|F{pat}n§{block})|M§{arms}|I(?:v{pat}=)?§(?:{block})(?:EI(?:v{pat}=)?§{block})*(?:E{block})?)"
+        par = rf"\|(?:(?:[imlsq&*,:PLdp<>\-]|{any_})*\|)?(?:R{ty})?"
+        blocklike = rf"(?:(?:L:)?(?:u*{block}|O{block}|W(?:v{pat}=)?�{block}|F{pat}n�{block})|M�{arms}|I(?:v{pat}=)?�(?:{block})(?:EI(?:v{pat}=)?�{block})*(?:E{block})?)"
         prim0 = rf"(?:[ls]|{path}|{args}|{sq}|Z{any_}|r|B(?:L)?|D)"
         post = rf"(?:\.|{args}|{sq}|\?|a{ty})*"
         pre = rf"(?:[!*&\-m]|u?{par}|r|D|BL?(?=[ils]))*"
@@ -512,7 +533,7 @@ class Rust(Grammar):
         op = r"(?:[o+*&|<>=\-]|>>=?|D)"
         flat = rf"(?:{unit0}(?:{op}{unit0})*D?)"  # no braces: heads of if, while, match, for
         flat = rf"(?:{unit0}(?:{op}(?:v{pat}=)?{unit0})*D?)"
-        blocklike = blocklike.replace("§", flat)
+        blocklike = blocklike.replace("�", flat)
         prim = rf"(?:{path}{lit}|{blocklike}|{prim0})"
         unit = rf"{pre}{prim}{post}"
         E = rf"(?:{unit}(?:{op}{unit})*D?)"
@@ -561,7 +582,7 @@ class Rust(Grammar):
         if kind == "[":
             return int(bool(self.square.fullmatch(inner)))
         block = bool(self.block.fullmatch(inner)) or bool(self.block2.fullmatch(inner))
-        return block | bool(self.lit.fullmatch(inner)) << 1 | bool(self.fields.fullmatch(inner)) << 2 | bool(self.arms.fullmatch(inner)) << 3 | bool(self.items.fullmatch(inner)) << 4 | bool(self.uses.fullmatch(inner)) << 5 | bool(self.variants.fullmatch(inner)) << 6
+        return block | bool(self.lit.fullmatch(inner)) << 1 | bool(self.fields.fullmatch(inner)) << 2 | bool(self.arms.fullmatch(inner)) << 3 | bool(self.items.fullmatch(inner)) << 4 | (bool(self.uses.fullmatch(inner)) or bool(self.variants.fullmatch(inner))) << 5
 
     def whole(self, codes: str) -> bool:
         codes = self.attribute.sub("", codes)
@@ -571,6 +592,7 @@ class Rust(Grammar):
 # ---------------------------------------------------------------------------------------------------- C
 class C(Grammar):
     language = "c"
+    layout = Layout(6, 1, 4)
     TOKEN = re.compile(r"(?:->|\.)\s*[^\W\d]\w*|\.\.\.|[^\W\d]\w*|\d[\w.]*(?:(?<=[eEpP])[+-]\d+)?|\.\d\w*|<<=|>>=|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||\+\+|--|<<|>>|[^\s]")
     CODES = {
         **_codes(r="return", I="if", W="while", F="for", E="else", D="do", S="switch", c="case", d="default", B="break continue", G="goto", T="struct union enum", y="typedef", z="sizeof _Alignof"),
@@ -589,6 +611,8 @@ class C(Grammar):
 
     def __init__(self) -> None:
         super().__init__()
+        having, any_of = self.layout.having, self.layout.any_of
+        P_ANY, S_ANY, B_ANY = any_of(PAREN), any_of(SQUARE), any_of(BRACE)
         args, params, forh, expr, cast, dcl = (having(PAREN, b) for b in (1, 2, 4, 8, 16, 32))
         sq = having(SQUARE, 1)
         block, init, fields, enum = (having(BRACE, b) for b in (1, 2, 4, 8))
@@ -596,10 +620,7 @@ class C(Grammar):
         spec = rf"(?:i|{tag})+"
         pre = rf"(?:[!+*u]|z|(?:{cast}|{expr})(?=[ilsz!+*u{P_ANY[1:-1]}{B_ANY[1:-1]}]))*"
         unit = rf"{pre}(?:i|l|s+(?:is+)*|{expr}|{cast}|(?<={cast}){init})(?:p|{args}|{sq}|u)*"
-        seq = rf"{unit}(?:[o+*=]{unit})*"
-        e1 = rf"{seq}(?:\?{seq}:{seq})*"
-        E = rf"(?:{seq}(?:\?{e1}:{seq})*)"
-        EL = rf"{E}(?:,{E})*"
+        E, EL = chain(unit, "[o+*=]"), chain(unit, "[o+*=,]")
         d = rf"\**i*(?:i|{dcl})(?:{sq}|{params})*(?::{E})?"
         decl = rf"{d}(?:=(?:{E}|{init}))?"
         decls = rf"{decl}(?:,{decl})*"
@@ -642,6 +663,7 @@ class Ruby(Grammar):
     """Brackets as elsewhere; then keyword blocks up to their ``end`` are reduced in the same way."""
 
     language = "ruby"
+    layout = Layout(3, 1, 2, 2)
     keep_lines = True
     TOKEN = re.compile(r"(?:&?\.|::)\s*[^\W\d]\w*[?!]?(?!=[^=~>])|(?:&?\.|::)\s*[^\W\d]\w*|&?\.(?=\()|\.\.\.|\.\.|[^\W\d]\w*[?!]?:(?!:)|:[^\W\d]\w*[?!=]?|:\x01|:(?:\[\]=?|[-+*/%<>=!~^&|]+)|@@?[^\W\d]\w*|\$(?:[^\W\d]\w*|[\d!@&~;,/.<>_:?\"$0*])|defined\?|[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*|\d[\w]*(?:\.\d\w*)?(?:(?<=[eE])[+-]\d+)?|\?[^\s\w](?=[\s,)])|\*\*=|<=>|===|<<=|>>=|&&=|\|\|=|=>|==|!=|=~|!~|<=|>=|&&|\|\||<<|>>|\*\*|->|[-+*/%&|^]=|\x01\s*:(?!:)|[^\s]")
     CODES = {
@@ -686,16 +708,17 @@ class Ruby(Grammar):
 
     def __init__(self) -> None:
         super().__init__()
-        args, params, expr = (having(PAREN, b) for b in (1, 2, 8))
+        having, any_of = self.layout.having, self.layout.any_of
+        args, params, expr = (having(PAREN, b) for b in (1, 2, 4))
         sq = having(SQUARE, 1)
         hash_, block = having(BRACE, 1), having(BRACE, 2)
-        unit_, defn, do = chr(KEYED + 1), chr(KEYED + 2), chr(KEYED + 3)
+        unit_, defn, do = (chr(self.layout.bases[KEYED][0] + k) for k in (1, 2, 3))
         prim = rf"(?:i|[ls]+|{expr}|{sq}|{hash_}|{unit_}|p|L(?:{params}|i(?:,i)*)?(?:{block}|{do}))"
         post = rf"(?:p|{args}|{sq}|{block}|{do})*"
         pre = r"(?:[!+*N])*"
         plain = rf"{pre}{prim}{post}"
         arg = rf"(?:k?[*]?(?:{plain}(?:(?:[o+*=<|dO>?:]|>\n?){plain})*)|k|\*)"
-        call = rf"(?:{pre}i(?:p|{sq}|{args})*(?:\s*{arg}(?:,\n?{arg})*)(?:{do})?)"
+        call = rf"(?:{pre}i(?:p|{sq}|{args})*(?:{arg}(?:,\n?{arg})*)(?:{do})?)"
         unit = rf"(?:{call}|{plain})"
         E = rf"(?:{unit}d?(?:[o+*=<|dO?:]{unit})*d?)"
         EL = rf"\*?{E}(?:,\*?{E})*"
@@ -734,7 +757,7 @@ class Ruby(Grammar):
             if len(self.group_memo) > MEMO:
                 self.group_memo.clear()
             ok = self.kinds[g[0]].fullmatch(g[1:-1])
-            c = self.group_memo[g] = chr(KEYED + (0 if not ok else 2 if g[0] in "bKz" else 3 if g[0] == "D" else 1))
+            c = self.group_memo[g] = chr(self.layout.bases[KEYED][0] + (0 if not ok else 2 if g[0] in "bKz" else 3 if g[0] == "D" else 1))
         return c
 
     def _blocks(self, codes: str) -> str:
@@ -748,7 +771,7 @@ class Ruby(Grammar):
     def classify(self, kind: str, inner: str) -> int:
         inner = self._blocks(inner)
         if kind == "(":
-            return bool(self.args.fullmatch(inner)) | bool(self.params.fullmatch(inner.replace("\n", ""))) << 1 | bool(self.expr.fullmatch(inner)) << 3
+            return bool(self.args.fullmatch(inner)) | bool(self.params.fullmatch(inner.replace("\n", ""))) << 1 | bool(self.expr.fullmatch(inner)) << 2
         if kind == "[":
             return int(bool(self.args.fullmatch(inner)))
         return bool(self.hash_.fullmatch(inner)) | bool(self.block.fullmatch(inner)) << 1
