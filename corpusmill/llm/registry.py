@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, syntax, tokens
+from corpusmill.llm import docpairs, natural, packing, syntax, tokens
 from corpusmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,23 @@ def p6_report(spark, d):
 @query("p6_rates")
 def p6_rates(spark, d):
     return syntax.rates(table(spark, d, "parsed_files"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return natural.found(table(spark, d, "parsed_files"))
+
+
+@query("p3_shares")
+def p3_shares(spark, d):
+    return natural.shares(table(spark, d, "parsed_files"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return docpairs.documented(table(spark, d, "parsed_files"))
+
+
+@query("p4_pairs")
+def p4_pairs(spark, d):
+    return docpairs.pairs(table(spark, d, "parsed_files"))
