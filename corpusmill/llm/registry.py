@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import docpairs, natural, packing, syntax, tokens
+from corpusmill.llm import docpairs, natural, packing, secrets, syntax, tokens
 from corpusmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,13 @@ def p4_found(spark, d):
 @query("p4_pairs")
 def p4_pairs(spark, d):
     return docpairs.pairs(table(spark, d, "parsed_files"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return secrets.found(table(spark, d, "parsed_files"), table(spark, d, "security_issues"))
+
+
+@query("p5_redacted")
+def p5_redacted(spark, d):
+    return secrets.redacted(table(spark, d, "parsed_files"), table(spark, d, "security_issues"))
