@@ -63,6 +63,7 @@ _PLAIN = re.compile(r"^[A-Za-z]?[a-z]*(?:[ _./:\-][a-z]*)*$|^[A-Z]+(?:_[A-Z]+)*$
 _PATTERN = re.compile(r"\[\^?[\w-]+-[\w-]+\]|\\[dws]|\(\?|\]\{\d|\{\d+,?\d*\}|\.\*|\)\+|\|.*\(|\^.*\$$")
 _PHRASE = re.compile(r"^[a-z]{3,}(?:[-_.][a-z]{3,}){2,}\d{1,4}$|^[A-Z][a-z]{2,}[!#%_^*+&@~=-][a-z]{3,}\d{2,5}$")
 _PASSWORD = re.compile(r"^[!-~]{10,26}$")
+_DIGEST = re.compile(r"^(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$", re.I)
 _COMMENT = re.compile(r"(?:^[ \t]*(?:#+|//+|/?\*+|--|;|<!--|\"\"\"|''')|(?<=[\s;{}])(?:#|//|/\*)(?=\s))[^\n]*+", re.M)
 _LABEL = re.compile(
     r"\b(?:password|passwort|passwd|pwd|pw|kennwort|contraseña|contrasena|clave|senha|mot de passe|mdp|пароль|passphrase|token|secret|(?:api|old|access|signing|secret|deploy|new|master|private)[ _-]?key|login|credentials?|auth)\b[\"']?\s*(?:is|ist|es|est|was|=>|:=|=|:)\s*[\"'`]?([^\s\"'`]{8,})",
@@ -184,7 +185,9 @@ def find(text: str, yaml: bool = False, context: bool = False) -> list[tuple[int
             before = text[max(0, a - 120) : a]
             n = _BEFORE.search(before)
             name = n[1] if n else ""
-            if name and credential_name(name):
+            if context and not before.strip():  # the name was cut off
+                secret = bool(_PHRASE.match(value)) or (_named_secret(value) and not _DIGEST.match(value))
+            elif name and credential_name(name):
                 secret = _named_secret(value) or bool(_PHRASE.match(value))
             elif (p := _PASSED.search(before)) and not _PASSED_NAME.search(before):
                 secret = _named_secret(value) or bool(_PHRASE.match(value))
