@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import docpairs, natural, packing, secrets, syntax, tokens
+from corpusmill.llm import docpairs, natural, packing, provenance, secrets, syntax, tokens
 from corpusmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,13 @@ def p5_found(spark, d):
 @query("p5_redacted")
 def p5_redacted(spark, d):
     return secrets.redacted(table(spark, d, "parsed_files"), table(spark, d, "security_issues"))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return provenance.found(table(spark, d, "parsed_files"), table(spark, d, "upstream_files"))
+
+
+@query("p7_scores")
+def p7_scores(spark, d):
+    return provenance.scored(table(spark, d, "parsed_files"), table(spark, d, "upstream_files"))
