@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import docpairs, natural, packing, provenance, secrets, syntax, tokens
+from corpusmill.llm import docpairs, natural, packing, provenance, reading, secrets, syntax, tokens
 from corpusmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,13 @@ def p7_found(spark, d):
 @query("p7_scores")
 def p7_scores(spark, d):
     return provenance.scored(table(spark, d, "parsed_files"), table(spark, d, "upstream_files"))
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return reading.found(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+@query("p10_scores")
+def p10_scores(spark, d):
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
