@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,11 +169,30 @@ def against_summaries(count: DataFrame, summaries: DataFrame) -> DataFrame:
     return both.groupBy("language").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("tokens_used").alias("tokens_used"))
 
 
+#: Where a text may be cut so that the ids of its pieces are the ids of the text: before white space that
+#: follows other text. Only some of these places are used, those after marks that end a phrase or line.
+_PIECE = re.compile(r"(?<=[.!?:;,|\]\)}>])(?=\s)|(?<=[^\s])(?=\n)")
+_PIECES = 100_000
+
+
+@lru_cache(maxsize=4)
+def _memo(path: str) -> dict[str, list[int]]:
+    return {}
+
+
 def _encode(texts: list[str | None], path: str, step: int = 256) -> list[list[int]]:
-    t = _tokenizer(path)
+    """Ids of each text. Pieces that come again are encoded once for each worker; the memo is bounded."""
+    t, memo = _tokenizer(path), _memo(path)
     out: list[list[int]] = []
     for at in range(0, len(texts), step):
-        out += [e.ids for e in t.encode_batch_fast([x or "" for x in texts[at : at + step]], add_special_tokens=False)]
+        cut = [_PIECE.split(x) if x else [] for x in texts[at : at + step]]
+        new = list({p for pieces in cut for p in pieces if p not in memo})
+        if len(memo) + len(new) > _PIECES:
+            memo.clear()
+            new = list({p for pieces in cut for p in pieces})
+        for p, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)):
+            memo[p] = e.ids
+        out += [list(chain.from_iterable(map(memo.__getitem__, pieces))) for pieces in cut]
     return out
 
 
