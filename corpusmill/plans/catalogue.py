@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import rules as R
 from corpusmill.functions import text as T
-from corpusmill.operators import compress, diff, files, graph, merge, scan
+from corpusmill.operators import compress, content, diff, files, graph, merge, parse, render, scan, summarize
+from corpusmill.plans import pipeline
 from corpusmill.plans.registry import query
 from corpusmill.session import table
 
@@ -401,3 +402,57 @@ def language_votes(spark, d):
 def largest_orders(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
+
+
+# -------------------------------------------------------------- what SQL cannot express: tested on small fixtures
+@query("declarations")
+def declarations(spark, d):
+    return parse.declarations(_files(spark, d))
+
+
+@query("declarations_by_kind")
+def declarations_by_kind(spark, d):
+    return parse.by_kind(parse.declarations(_files(spark, d)))
+
+
+@query("annotations")
+def annotations(spark, d):
+    return parse.annotations(parse.declarations(_files(spark, d)))
+
+
+@query("longest_functions")
+def longest_functions(spark, d):
+    return parse.longest(parse.declarations(_files(spark, d)))
+
+
+@query("content_cleaned")
+def content_cleaned(spark, d):
+    language = files.language_by_extension("path")
+    return _files(spark, d).select("file_id", content.drop_blank_lines(content.remove_comments(content.remove_docs(content.normalise("content"), language), language)).alias("content"))
+
+
+@query("rendered_markdown")
+def rendered_markdown(spark, d):
+    return pipeline.run(_files(spark, d), pipeline.Spec.of("lean"))
+
+
+@query("rendered_xml")
+def rendered_xml(spark, d):
+    return render.chunks(_files(spark, d), "xml")
+
+
+@query("rendered_json_roundtrip", f"WITH {FILES} SELECT path, coalesce(content, '') AS content FROM f")
+def rendered_json_roundtrip(spark, d):
+    return render.reconstruct(render.chunks(_files(spark, d), "json").select(F.col("chunk").alias("document")), "json").select("path", "content")
+
+
+@query("rendered_markdown_roundtrip", f"WITH {FILES} SELECT path, sha256(coalesce(content, '')) AS h FROM f WHERE content IS NULL OR NOT contains(content, chr(13))")
+def rendered_markdown_roundtrip(spark, d):
+    plain = _files(spark, d).filter("content is null or not contains(content, '\r')")
+    return render.reconstruct(render.chunks(plain, "markdown").select(F.col("chunk").alias("document")), "markdown").select("path", F.sha2("content", 256).alias("h"))
+
+
+@query("summaries_due")
+def summaries_due(spark, d):
+    done = table(spark, d, "summaries").filter("error is null").select("file_id").distinct()
+    return summarize.summaries(summarize.due(_files(spark, d), done))
