@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import rules as R
 from corpusmill.functions import text as T
 
-IGNORE = r"(?i)(?:#|//|/\*)\s*(?:nosec\b|scan-ignore(?:-line)?\b)"
+IGNORE = r"(?i)(?:#|//|/\*)\s*(?:nosec\b|scan-ignore(?:-line)?(?![\w-]))"
 BLOCK_START, BLOCK_END = r"(?i)scan-ignore-start", r"(?i)scan-ignore-end"
 
 
