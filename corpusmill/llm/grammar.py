@@ -214,8 +214,8 @@ class Script(Grammar):
 
     @staticmethod
     def _types(ID: str, params: str, square: str, shape: str, paren: str) -> str:
-        part = rf"(?:[k!]|g(?=[{ID[1:-1]}k{square[1:-1]}]))*(?:{params}A)*(?:{ID}p*|[lnst]|{shape}|{square}|{paren})(?:{square})*"
-        return rf"(?:\|?(?:{ID}k(?={ID}))?{part}(?:[|&x?:]{part})*)"
+        part = rf"(?:[k!]|g(?=[{ID[1:-1]}k{square[1:-1]}]))*(?:{params}A)*(?:{ID}p*|[lnst]|!|{shape}|{square}|{paren})(?:{square})*"
+        return rf"(?:\|?(?:k?{ID}k(?={ID}))?{part}(?:[|&x?:]{part})*)"
 
     def token(self, t: str) -> str:
         c = t[0]
@@ -356,7 +356,7 @@ class Java(Grammar):
         ext = rf"(?:x{ty}(?:,{ty})*)*"
         types = rf"{kind}(?:K|i(?=i{P_ANY}))i(?:{params})?{ext}(?:{cls}|{enum})"
         local = rf"{kind}{ty}{decls};"
-        b0 = rf"(?:{block}|T(?:{res})?{block}(?:C{params}{block})*(?:Y{block})?|S{expr}{cases}|g{expr}{block}|;|r(?:{E})?;|h{E};|Bi?;|a{E}(?::{E})?;|ir{E};|{EL};)"
+        b0 = rf"(?:{block}|T(?:{res})?{block}(?:C{params}{block})*(?:Y{block})?|S{expr}{cases}|g{expr}{block}|;|r(?:{E})?;|h{E};|Bi?;|a{E}(?::{E})?;|i(?=[lsN]){E};|{EL};)"
         head = rf"(?:W{expr}|F{forh}|i:)*"
         ifs = rf"I{expr}{head}(?:I{expr})*{b0}(?:EI{expr}{head}{b0})*(?:E{head}{b0})?"
         stmt = rf"(?:{types}|{local}|{head}(?:{ifs}|D{b0}W{expr};|{b0}))"
@@ -377,6 +377,9 @@ class Java(Grammar):
         self.file = _full(rf"(?:{note}kip*;)?(?:Mg?ip*;|;)*(?:{types}|;)*+")
         self.generic = re.compile(rf"(?:(?<=[igpq;}}{{{P_ANY[1:-1]}{B_ANY[1:-1]}])|^)<(?:[ip,?&qx]|{S_ANY})*>")
 
+    def tidy(self, codes: str) -> str:
+        return codes.replace("g:", "d:").replace("gA", "dA")  # a modifier before these is the default of a switch
+
     def _generics(self, codes: str) -> str:
         while True:
             less = self.generic.sub("", codes)
@@ -490,7 +493,7 @@ class Rust(Grammar):
     TOKEN = re.compile(r"\.\s*(?:[^\W\d]\w*|\d+)|::\s*<|::\s*[^\W\d]\w*|'[A-Za-z_]\w*|[^\W\d]\w*!(?=\s*[(\[{A-Za-z_])(?!\s*=)|r#[^\W\d]\w*|[^\W\d]\w*|\d[\w]*(?:\.\d[\w]*)?(?:(?<=[eE])[+-]\d+)?|\.\.=|\.\.\.|\.\.|<<=|>>=|[-+*/%&|^]=|->|=>|==|!=|<=|>=(?!>)|&&|\|\||<<|::|[^\s]")
     CODES = {
         **_codes(f="fn", v="let", m="mut ref", q="const static", g="pub", u="unsafe async move extern", d="dyn impl", w="where", F="for", n="in", I="if", E="else", M="match", W="while", O="loop", r="return", B="break continue", T="struct union", e="enum", t="trait", y="type", z="mod", U="use", l="true false", X="extern"),
-        "impl": "p", "union": "i", "as": "a", "=>": "A", "->": "R", "::": "c", "..": "D", "..=": "D", "...": "D", "!": "!", "&": "&", "&&": "&", "*": "*", "-": "-", "+": "+", "=": "=", "<": "<", ">": ">", "|": "|", "||": "|", "?": "?", ":": ":", ",": ",", ";": ";", "#": "#", "@": "@", "$": "￾",
+        "impl": "p", "union": "i", "as": "a", "=>": "A", "->": "R", "::": "c", "..": "D", "..=": "D", "...": "D", "!": "!", "&": "&", "&&": "&", "*": "*", "-": "-", "+": "+", "=": "=", "<": "<", ">": ">", "|": "|", "||": "|", "?": "?", ":": ":", ",": ",", ";": ";", "#": "#", "@": "@", "$": "",
         lexers.STRING: "s", lexers.CHAR: "l",
         **{c: c for c in "()[]{}"},
         **{c: "o" for c in "/ % ^ == != <= >= << <<= >>= -= += *= /= %= &= |= ^=".split()},
