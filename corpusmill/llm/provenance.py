@@ -29,7 +29,8 @@ NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 #: Words of the grammars are no names. Fixed values.
 KEYWORDS = frozenset("and as assert async await boolean break byte case catch char class const continue crate def default defer del do double elif else elsif end ensure enum except export extends extern false final finally float fmt fn for from func function global go goto if impl implements import in include inline instanceof int interface is lambda let long loop match mod module move mut namespace new nil none not null number or package pass pub public private protected raise range readonly require rescue return self short signed sizeof static str string struct super switch then this throw throws trait true try type typedef typeof undefined union unless unsafe unsigned until use usize var void volatile when where while with yield Self String None True False NULL size_t end nil".split())
 MAX_GRAMS = 1_000_000
-ENTROPY, DENSE_SPACE = 3.4, 0.12
+#: Bits a character by which mangled names exceed what their language's names cost on average; most blanks in dense code.
+SURPRISE, DENSE_SPACE = 1.5, 0.12
 CONTAINED, COVERED = 0.7, 0.4
 
 
@@ -107,8 +108,15 @@ class Model:
             total = sum(shares.values())
             for k in shares:
                 shares[k] /= total
+        self.usual = {k: sum(-n * self._log(g, k) for g, n in grams.items()) / sum(grams.values()) for k, grams in self.grams.items()}
         self.memo: dict[tuple[str, str], float] = {}
 
+    def _log(self, gram: str, language: str) -> float:
+        return math.log2((self.grams.get(language, {}).get(gram, 0) + 0.05) / (self.before.get(language, {}).get(gram[:2], 0) + 2.0))
+
+    def mangled(self, language: str, entropy: float) -> bool:
+        return entropy >= self.usual.get(language, 0.0) + SURPRISE
+
     def bits(self, language: str, name: str) -> float:
         """Bits a character that a name costs under its language's model."""
         key = (language, name)
@@ -116,8 +124,7 @@ class Model:
         if v is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            grams, before = self.grams.get(language, {}), self.before.get(language, {})
-            cost = [-math.log2((grams.get(g, 0) + 0.05) / (before.get(g[:2], 0) + 2.0)) for g in _grams(name)]
+            cost = [-self._log(g, language) for g in _grams(name)]
             v = self.memo[key] = sum(cost) / len(cost)
         return v
 
@@ -212,7 +219,7 @@ def judge(language: str, text: str, model: Model, upstream: dict[int, list[int]]
     verdict = None
     if best is not None and contained >= CONTAINED and shared >= COVERED * sizes[best]:
         verdict = "vendored"
-    elif language not in ("json", "yaml") and entropy >= ENTROPY and len(names) >= 8 and _dense(text, code, names):
+    elif language not in ("json", "yaml") and model.mangled(language, entropy) and len(names) >= 8 and _dense(text, code, names):
         verdict = "minified"
     elif language == "json" and len(_LOCK.findall(text)) >= 3:
         verdict = "generated"

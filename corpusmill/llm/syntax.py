@@ -110,9 +110,9 @@ _VOTES = {k: re.compile(v, re.M) for k, v in _TYPICAL.items()}
 
 
 def ranking(text: str) -> list[str]:
-    """Languages with any typical token, the most typical first."""
+    """All languages, the most typical first; formats that plain text could pass for only with a typical token."""
     votes = {k: sum(1 for _ in p.finditer(text)) for k, p in _VOTES.items()}
-    return sorted((k for k in votes if votes[k]), key=lambda k: (-votes[k], LANGUAGES.index(k)))
+    return sorted((k for k in votes if votes[k] or k not in ("json", "yaml")), key=lambda k: (-votes[k], LANGUAGES.index(k)))
 
 
 def foreign(language: str, text: str) -> str | None:

@@ -14,7 +14,7 @@ PACKAGE = "# pack 1.2.3\n" + "".join(f"def helper_{w}(value):\n    result = valu
 
 def test_verdicts(spark, files):
     js = HAND.replace("def ", "function ").replace("# ", "// ").replace("):\n", ") {\n").replace(")\n\n", ")\n}\n\n")
-    rows = [(i, f"h{i}.py", HAND) for i in range(5)] + [(10 + i, f"h{i}.js", js) for i in range(5)]
+    rows = [(i, f"h{i}.py", HAND) for i in range(5)] + [(100 + i, f"h{i}.js", js) for i in range(40)]
     rows += [
         (20, "dist/a.js", MINIFIED), (21, "x_pb2.py", TEMPLATE), (22, "tables.py", DATA), (23, "lib/pack.py", PACKAGE.replace("1.2.3", "1.2.4") + "# patched\n"), (24, "gen.py", "# Code generated by tool v1. DO NOT EDIT.\n" + HAND), (25, "lock.json", '{"lockfileVersion": 1, "p": {"a": {"integrity": "x"}, "b": {"integrity": "y"}}}'),
         (26, "hand.py", "# Emits the DO NOT EDIT banner that the writer puts on top.\n" + HAND), (27, "vendor/own.py", HAND), (28, "n.py", None), (29, "e.py", ""), (30, "b.py", "\x00\x01"), (31, "t.py", HAND + "# Diese Datei wurde automatisch von x erzeugt und darf nicht geändert werden.\n"), (21, "x_pb2.py", TEMPLATE),

@@ -20,10 +20,10 @@ def test_held_out_levels(spark):
     rng = random.Random(3)
     truth = {i: 1 + i % 4 for i in range(160)}
     docs = spark.createDataFrame([(i, text(k, rng), "x") for i, k in truth.items()], "doc_id long, text string, level string")
-    graded = [(i, 1, truth[i]) for i in range(40)] + [(0, 2, 2), (999, 1, 1), (5, 1, None), (6, 1, 9)]
+    graded = [(i, 1, truth[i]) for i in range(80)] + [(0, 2, 2), (999, 1, 1), (5, 1, None), (6, 1, 9)]
     labels = spark.createDataFrame(graded, "doc_id long, annotator int, level int")
     got = {r.doc_id: r.level for r in reading.found(docs, labels).collect()}
-    held = [i for i in truth if i >= 40]
+    held = [i for i in truth if i >= 80]
     assert set(got) == set(truth) and sum(got[i] == truth[i] for i in held) >= 0.9 * len(held)
     assert reading.found(docs, labels.limit(0)).count() == 0 and reading.found(docs.limit(0), labels).count() == 0
 
