@@ -10,7 +10,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Sequence[list]], schema: str | StructType) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions to keep every core busy with costly kernels.
+
+    Only an input with fewer partitions than cores is shuffled, which no large one is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Sequence[list]], schema: str | StructType, costly: bool = False) -> DataFrame:
     """Run ``kernel(*column_lists)`` over each Arrow batch of the named columns.
 
     The kernel returns one list per output column, of any common length. Only the named columns reach
@@ -24,4 +33,5 @@ def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Seq
             out = kernel(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, kind)
+    narrow = df.select(*columns)
+    return (spread(narrow) if costly else narrow).mapInArrow(run, kind)
