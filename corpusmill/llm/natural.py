@@ -88,7 +88,7 @@ def shares(files: DataFrame) -> DataFrame:
                     c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "file_path", "content"], kernel, "file_id bigint, nl_lang string, sentences int, chars bigint, share double").dropDuplicates(["file_id", "nl_lang"])
+    return map_columns(files, ["file_id", "file_path", "content"], kernel, "file_id bigint, nl_lang string, sentences int, chars bigint, share double", costly=True).dropDuplicates(["file_id", "nl_lang"])
 
 
 def found(files: DataFrame) -> DataFrame:

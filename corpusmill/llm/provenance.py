@@ -86,7 +86,7 @@ def train(files: DataFrame) -> DataFrame:
             out[2] += grams.values()
         return out
 
-    counted = map_columns(files, ["file_path", "content"], kernel, "language string, gram string, n bigint")
+    counted = map_columns(files, ["file_path", "content"], kernel, "language string, gram string, n bigint", costly=True)
     return counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -280,7 +280,7 @@ def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, ma
                 c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, entropy double, diversity double, foreign double, upstream_id int, contained double, verdict string").dropDuplicates(["file_id"])
+    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, entropy double, diversity double, foreign double, upstream_id int, contained double, verdict string", costly=True).dropDuplicates(["file_id"])
 
 
 def found(files: DataFrame, upstream: DataFrame) -> DataFrame:

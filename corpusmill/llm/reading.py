@@ -75,7 +75,7 @@ def edges(documents: DataFrame) -> DataFrame:
                 out[2].append(n)
         return out
 
-    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, word bigint, tf int")
+    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, word bigint, tf int", costly=True)
 
 
 def thresholds(score: np.ndarray, grade: np.ndarray) -> list[float]:

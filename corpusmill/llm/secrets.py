@@ -270,7 +270,7 @@ def found(files: DataFrame, issues: DataFrame) -> DataFrame:
                     c.append(v)
         return out
 
-    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, line_no int").distinct()
+    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, line_no int", costly=True).distinct()
 
 
 def redacted(files: DataFrame, issues: DataFrame) -> DataFrame:
@@ -284,4 +284,4 @@ def redacted(files: DataFrame, issues: DataFrame) -> DataFrame:
                     c.append(v)
         return out
 
-    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, secrets int, text string").dropDuplicates(["tbl", "row_id"])
+    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, secrets int, text string", costly=True).dropDuplicates(["tbl", "row_id"])

@@ -135,7 +135,7 @@ def parsed(files: DataFrame, report: bool = True) -> DataFrame:
                 c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, valid boolean, parsed_as string").distinct()
+    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, valid boolean, parsed_as string", costly=True).distinct()
 
 
 def found(files: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str | None = None, ch
 
     base = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
     large = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    small_counts = map_columns(base.filter(~large), ["row_id", "text"], counts, "row_id bigint, tokens bigint")
+    small_counts = map_columns(base.filter(~large), ["row_id", "text"], counts, "row_id bigint, tokens bigint", costly=True)
     chunks = map_columns(base.filter(large), ["row_id", "text"], pieces, "row_id bigint, chunk int, text string")
     spread = chunks.repartition(F.xxhash64("row_id", "chunk"))
     large_counts = map_columns(spread, ["row_id", "chunk", "text"], chunk_counts, "row_id bigint, chunk int, tokens bigint")
@@ -203,7 +203,7 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     def kernel(keys, texts):
         return [keys, _encode(texts, path)]
 
-    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, ids array<int>")
+    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, ids array<int>", costly=True)
 
 
 def decode_ids(ids: list[int], path: str, errors: str = "replace") -> str:
@@ -235,4 +235,4 @@ def token_spans(documents: DataFrame, path: str | None = None) -> DataFrame:
         spans = [id_spans(i, t or "", path) for i, t in zip(ids, texts)]
         return [keys, ids, [s[0] for s in spans], [s[1] for s in spans], [decode_ids(i, path) == (t or "") for i, t in zip(ids, texts)]]
 
-    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, ids array<int>, char_start array<int>, char_end array<int>, same boolean")
+    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, ids array<int>, char_start array<int>, char_end array<int>, same boolean", costly=True)
