@@ -69,3 +69,52 @@ def deduplicated(issues: DataFrame) -> DataFrame:
     """Scanner findings once each: the lowest id of those that agree in file, line, rule and context."""
     key = ["file_id", "line_number", "rule_id", "context"]
     return issues.groupBy(*key).agg(F.min("issue_id").alias("issue_id"), F.max("severity").alias("severity")).select("issue_id", "file_id", "line_number", "rule_id", "severity")
+
+
+def attacks(files: DataFrame, rules=None) -> DataFrame:
+    """(file_id, rule, severity, line_no, column, snippet, cwe): matches over whole contents, with their places.
+
+    Rules apply to their languages, those for all to every file. A place needs offsets, which built-in
+    functions do not give; files without any match never leave the JVM.
+    """
+    import re
+
+    from corpusmill.functions.arrow import map_columns
+    from corpusmill.functions.attacks import ATTACK_RULES
+    from corpusmill.operators.files import EXTENSIONS, language_by_extension
+
+    rules = ATTACK_RULES if rules is None else rules
+    language = language_by_extension("path")
+    some = F.lit(False)
+    for langs in dict.fromkeys(r.languages for r in rules):
+        any_rule = "|".join(f"(?:{r.regex})" for r in rules if r.languages == langs)
+        some = some | ((F.lit(True) if langs == ("all",) else language.isin(*langs)) & F.col("content").rlike(any_rule))
+
+    def kernel(ids, paths, contents):
+        out: list[list] = [[] for _ in range(7)]
+        for i, path, text in zip(ids, paths, contents):
+            own = EXTENSIONS.get((path or "").rpartition(".")[2].lower())
+            for r in rules:
+                if r.languages == ("all",) or own in r.languages:
+                    for m in re.finditer(r.regex, text):
+                        at = m.start()
+                        for c, v in zip(out, (i, r.name, r.severity, text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), m[0][:100], r.cwe)):
+                            c.append(v)
+        return out
+
+    return map_columns(files.filter(some), ["file_id", "path", "content"], kernel, "file_id bigint, rule string, severity int, line_no int, column int, snippet string, cwe string")
+
+
+def attack_counts(files: DataFrame, rules=None) -> DataFrame:
+    """(rule, files, matches) without leaving the JVM."""
+    from corpusmill.functions.attacks import ATTACK_RULES
+    from corpusmill.operators.files import language_by_extension
+
+    language, content = language_by_extension("path"), F.coalesce("content", F.lit(""))
+
+    def count(r: R.Rule) -> Column:
+        n = F.regexp_count(content, F.lit(r.regex))
+        return F.struct(F.lit(r.name).alias("rule"), (n if r.languages == ("all",) else F.when(language.isin(*r.languages), n).otherwise(0)).alias("n"))
+
+    each = files.select(F.explode(F.array(*map(count, ATTACK_RULES if rules is None else rules))).alias("r")).filter("r.n > 0")
+    return each.groupBy("r.rule").agg(F.count("*").alias("files"), F.sum("r.n").alias("matches"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import rules as R
 from corpusmill.functions import text as T
+from corpusmill.functions.attacks import ATTACK_RULES
 from corpusmill.operators import compress, content, diff, files, graph, merge, parse, render, scan, summarize
 from corpusmill.plans import pipeline
 from corpusmill.plans.registry import query
@@ -456,3 +457,24 @@ def rendered_markdown_roundtrip(spark, d):
 def summaries_due(spark, d):
     done = table(spark, d, "summaries").filter("error is null").select("file_id").distinct()
     return summarize.summaries(summarize.due(_files(spark, d), done))
+
+
+_ATTACKS = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, len(regexp_extract_all(content, '{_q(r.regex)}')) AS n FROM f WHERE content IS NOT NULL" + ("" if r.languages == ("all",) else f" AND {LANG} IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")") for r in ATTACK_RULES)
+
+
+@query("attack_counts", f"WITH {FILES}, a AS ({_ATTACKS}) SELECT rule, count(*) AS files, sum(n)::BIGINT AS matches FROM a WHERE n > 0 GROUP BY 1")
+def attack_counts(spark, d):
+    return scan.attack_counts(_files(spark, d))
+
+
+@query("attack_scan")
+def attack_scan(spark, d):
+    return scan.attacks(_files(spark, d))
+
+
+@query("document_attacks", "WITH a AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, len(regexp_extract_all(text, '{_q(r.regex)}'))::BIGINT AS matches FROM documents WHERE text IS NOT NULL" for r in ATTACK_RULES if r.languages == ("all",)) + ") SELECT * FROM a WHERE matches > 0")
+def document_attacks(spark, d):
+    rules = [r for r in ATTACK_RULES if r.languages == ("all",)]
+    text = F.coalesce("text", F.lit(""))
+    each = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.regexp_count(text, F.lit(r.regex)).cast("bigint").alias("matches")) for r in rules)))
+    return table(spark, d, "documents").select("doc_id", each.alias("r")).filter("r.matches > 0").select("doc_id", "r.rule", "r.matches")
