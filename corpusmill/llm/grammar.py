@@ -15,6 +15,7 @@ from corpusmill.llm import lexers
 
 MEMO = 200_000
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_PROSE = "i" * 48  # so many names in a row are prose in any language, and costly to try as declarations
 _FIRST = 0x80  # reduced groups are characters below 256, which keeps character classes small and quick to compile
 
 
@@ -101,7 +102,7 @@ class Grammar:
         if not scan.ok:
             return False
         codes = self.tidy(self.shape(scan.code))
-        if "￾" in codes:
+        if "￾" in codes or _PROSE in codes:
             return False
         while True:
             less = _GROUP.sub(self._reduce, codes)
@@ -203,7 +204,7 @@ class Script(Grammar):
         field = rf"{key}(?:\?|!)?(?::{ty})?(?:={E})?{end}" if typed else rf"{key}(?:={E})?{end}"
         method = rf"a?\*?(?:{key}|g(?={key})){params}{ret}\n?(?:{block}" + (rf"|{end})" if typed else ")")
         self.klass = _full(rf"(?:[;\n]|(?:q(?:{args})?\n?)*[ga]*?(?:{method}|{field}|(?<=g){block}))*+")
-        self.cases = _full(rf"\n*(?:(?:c{EL}|d):(?:{stmt})*)*+\n*")
+        self.cases = _full(rf"\n*(?:(?:c{EL}|d):(?:{stmt})*+)*+\n*")
         if typed:
             mem = rf"g*(?:{key}?\??{params}{ret}|N{params}{ret}|{key}\??(?::{ty})?|{S_ANY}\??:{ty})"
             self.shape_ = _full(rf"[;,\n]*(?:{mem}(?:[;,\n]+{mem})*[;,\n]*)?")
@@ -373,7 +374,7 @@ class Java(Grammar):
         self.klass = _full(rf"(?:{member})*+")
         const = rf"{note}i(?:{args})?(?:{cls})?"
         self.enum = _full(rf"(?:{const}(?:,{const})*)?,?(?:;(?:{member})*+)?")
-        self.cases = _full(rf"(?:(?:c{EL}|d)(?::(?:{stmt})*|A(?:{block}|h{E};|{E};)))*+")
+        self.cases = _full(rf"(?:(?:c{EL}|d)(?::(?:{stmt})*+|A(?:{block}|h{E};|{E};)))*+")
         self.file = _full(rf"(?:{note}kip*;)?(?:Mg?ip*;|;)*(?:{types}|;)*+")
         self.generic = re.compile(rf"(?:(?<=[igpq;}}{{{P_ANY[1:-1]}{B_ANY[1:-1]}])|^)<(?:[ip,?&qx]|{S_ANY})*>")
 
@@ -469,7 +470,7 @@ class Go(Grammar):
         self.lit = _full(rf"(?:{el}(?::{el})?(?:,{el}(?::{el})?)*,?;?)?")
         self.fields = _full(rf"(?:(?:i(?:,i)*{ty}|\*?ip*(?:{sq})?)s?(?:;|$))*+")
         self.methods = _full(rf"(?:(?:i{params}(?:{ty})?|!?{ty}(?:\|!?{ty})*)(?:;|$))*+")
-        self.cases = _full(rf"(?:(?:c(?:{simple}|{ty}(?:,{ty})*)|d):(?:{stmt})*)*+")
+        self.cases = _full(rf"(?:(?:c(?:{simple}|{ty}(?:,{ty})*)|d):(?:{stmt})*+)*+")
         self.imports = _full(r"(?:[ip]?s;|_?s;)*[ip]?s?")
         imp = having(PAREN, 8)
         self.file = _full(rf";*ki;(?:M(?:[ip]?s|{imp});|;)*(?:(?:f(?:{params})?i(?:{sq})?{params}(?:{ty})?(?:{block})?|v(?:{vspec}|{group})|y(?:{tspec}|{group}))(?:;|$)|;)*+")
@@ -548,7 +549,7 @@ class Rust(Grammar):
         item = rf"(?:{fn}|{use}|{struct}|{g}ei{where}{variants}|{g}u*ti(?::{ty}(?:\+L)?)?{where}{items}|u*p(?:!?{ty}F)?{ty}{where}{items}|{g}zi(?:{items}|;)|{g}yi(?::{ty})?(?:={ty})?;|{g}qm?i:{ty}(?:={E})?;|uis;|us?{items}|Z(?:i)?(?:{B_ANY}|(?:{P_ANY}|{S_ANY});))"
         stmt = rf"(?:;|{item}|v{pat}(?::{ty})?(?:={E}(?:E{block})?)?;|{blocklike}(?![.?])|{E};)"
         self.block = _full(rf"(?:{stmt})*+(?:{E})?")
-        self.block2 = _full(rf"(?:{stmt})*(?:{E})?")
+        self.block2 = _full(rf"(?>{stmt})*(?:{E})?")
         self.items = _full(rf"(?:{item}|;)*+")
         self.args = _full(rf"(?:{E}(?:,{E})*,?)?")
         pm = rf"(?:{pat}:{ty}|&?L?m?i|~)"
@@ -726,7 +727,7 @@ class Ruby(Grammar):
         E = rf"(?:{unit}d?(?:[o+*=<|dO?:]{unit})*d?)"
         EL = rf"\*?{E}(?:,\*?{E})*"
         stmt = rf"(?:r(?:{EL})?|y[il][il]|{EL}(?:={EL})?|{defn})(?:m{E}|O(?:r(?:{EL})?|{E}))*"
-        self.stmts = rf"\n*(?:{stmt}(?:\n+{stmt})*)?\n*"
+        self.stmts = rf"\n*(?:(?>{stmt})(?:\n+(?>{stmt}))*)?\n*"
         S = self.stmts
         self.body = _full(S)
         pm = rf"(?:[*]*i(?:=(?:{plain}(?:[o+*<|]{plain})*))?|k(?:{plain})?|[*]+|{having(PAREN, 2)}|\*k?l?)"

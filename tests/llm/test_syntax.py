@@ -103,3 +103,16 @@ def test_spans():
     s = lexers.scan("javascript", "a = 1 / 2; // c\nb = /\\/x/.test('s') + `t${'u'}`;")
     assert [k for _, _, k in s.spans] == ["#", "/", '"', '"'] and s.ok
     assert not lexers.scan("c", 'x = "a\n').ok
+
+
+ODD = {"prose": "word " * 20_000, "calls": "word word, other (thing) x[0]\n" * 300 + "}}", "rows": "x[0]\n" * 400 + "end end", "ifs": "fn f() {" + "if x {} ; " * 200 + " ) }", "switch": "switch(a){case 1:" + "function f(){};" * 200 + "= }", "deep": "(" * 1000 + ")" * 1000, "sums": "a + " * 5000, "choices": "x = a ? b : " * 300 + "c;", "angles": "a < b, c > d " * 1000}
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript", "java", "go", "rust", "c", "ruby"])
+def test_odd_texts_take_no_time(language):
+    import time
+
+    started = time.process_time()
+    for text in ODD.values():
+        syntax.valid(language, text)
+    assert time.process_time() - started < 30
