@@ -151,7 +151,7 @@ def shingles(text: str, size: int = 5) -> set[int]:
 
 #: How a banner of a generator begins, in several languages. Matched at the start of a comment line.
 _BANNER = re.compile(
-    r"^\W*(?:@generated\b|<auto-?generated|auto-?generated\b(?:\s+(?:by|file|from|code|on|with|using)\b|[\s.,:;!-]*$)|(?:(?:this|the)\s+)?(?:code|file|source|module)?\s*(?:was|is|has\s+been)?\s*(?:automatically\s+|auto-?)?(?:generated|produced)\s+(?:automatically|by|on|from|with|using)\b"
+    r"^[^\w<@]*+(?:@generated\b|<auto-?generated|auto-?generated\b(?:\s+(?:by|file|from|code|on|with|using)\b|[\s.,:;!-]*$)|(?:(?:this|the)\s+)?(?:code|file|source|module)?\s*(?:was|is|has\s+been)?\s*(?:automatically\s+|auto-?)?(?:generated|produced)\s+(?:automatically|by|on|from|with|using)\b"
     r"|machine[\s-](?:written|generated|made)\b|do\s+not\s+(?:modify|edit|change|touch)\b(?!.*\bbanner)|output\s+of\s+(?:the\s+)?\S+\s+(?:compiler|generator|tool)\b|source\s+of\s+truth\s+is\b|generated\s+(?:code|file)\b"
     r"|(?:diese\s+datei|dieser\s+code)\s+(?:wurde|ist|wird)\s+.*\b(?:automatisch|maschinell|generiert|erzeugt)|automatisch\s+(?:erzeugt|generiert)"
     r"|(?:ce\s+)?(?:fichier|code)\s+(?:est\s+|a\s+été\s+)?(?:créé|généré|produit)\b.*automatiquement|(?:este\s+)?(?:archivo|fichero|código)\s+(?:fue\s+|ha\s+sido\s+|es\s+)?(?:creado|generado|producido)\b.*autom[aá]tic|(?:este\s+)?(?:arquivo|ficheiro|código)\s+(?:foi\s+|é\s+)?(?:gerado|criado|produzido)\b.*automatic"
