@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +45,37 @@ def unignored(files: DataFrame, rules=R.SECRET_RULES, least: int = 0) -> DataFra
     return findings(files, rules, least).join(ignored(files), ["file_id", "line_no"], "left_anti")
 
 
+#: A rule whose group is a run of one class: what stands before it, the class, how many.
+_VALUE = re.compile(r"(.*?)\((\[[^\]]+\])(\{\d+,?\})\).*")
+
+
+def _value_regex(r: R.Rule, rules) -> str:
+    """The rule with its value in group 2: a value may hold marks of other rules, but a mark alone is left as it is."""
+    m = _VALUE.fullmatch(r.regex)
+    if r.group != 1 or not m:
+        raise ValueError(f"rule {r.name} has no value to mask")
+    before, one, many = m.groups()
+    mark = r"\[(?:" + "|".join(x.name for x in rules) + r")\]"
+    return f"({before})(?=(?:{mark})*{one})({one}{many}(?:{mark}{one}*)*|{one}*(?:{mark}{one}*)+)"
+
+
 def masked_content(content: Column | str, rules=R.SECRET_RULES) -> Column:
-    """Content with every finding of the rules without a group masked, rule after rule."""
+    """Content with every finding masked: whole matches first, then line by line the values of rules with a group."""
     c = F.col(content) if isinstance(content, str) else content
+    valued = [r for r in rules if r.group]
     for r in rules:
-        if r.group == 0:
+        if not r.group:
             c = F.regexp_replace(c, r.regex, f"[{r.name}]")
-    return c
+    if not valued:
+        return c
+
+    def line(x: Column) -> Column:
+        for r in valued:
+            x = F.regexp_replace(x, _value_regex(r, rules), f"$1[{r.name}]")
+        return x
+
+    some = c.rlike("|".join(f"(?:{_value_regex(r, rules)})" for r in valued))
+    return F.when(some, F.array_join(F.transform(T.lines(c), line), "\n")).otherwise(c)
 
 
 def dangerous(files: DataFrame) -> DataFrame:
@@ -77,8 +103,6 @@ def attacks(files: DataFrame, rules=None) -> DataFrame:
     Rules apply to their languages, those for all to every file. A place needs offsets, which built-in
     functions do not give; files without any match never leave the JVM.
     """
-    import re
-
     from corpusmill.functions.arrow import map_columns
     from corpusmill.functions.attacks import ATTACK_RULES
     from corpusmill.operators.files import EXTENSIONS, language_by_extension

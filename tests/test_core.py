@@ -186,6 +186,34 @@ def test_pipeline_masks_and_orders(spark):
         pipeline.run(df, pipeline.Spec(format="pdf"))
 
 
+VALUES = {"aws_secret_access_key": "a" * 40, "generic_api_key": "abcdefghijklmnop", "generic_password": "abcdefghijkl", "aws_session_token": "a" * 16}
+
+
+def test_pipeline_masks_every_rule(spark):
+    df = corpus(spark, *((f"{n}.py", SECRETS[n][0] + " # end\nx = 1") for n in SECRETS))
+    for preset in ("lean", "medium"):
+        got = {r.path: r.chunk for r in pipeline.run(df, pipeline.Spec.of(preset)).collect()}
+        for n in SECRETS:
+            text = got[f"{n}.py"]
+            # both rules of OpenSSH headers have the same match; the first one names it
+            assert f"[{n}]" in text or n == "openssh_private_key" and "[private_key_pem]" in text
+            assert VALUES.get(n, SECRETS[n][0].strip("k =\'")) not in text and "# end" in text
+
+
+def test_masked_values_of_rules_that_overlap(spark):
+    jwt, token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIx.SflKxwRJSM", "ghp_" + "a" * 36
+    texts = {
+        f'password = "{jwt}"': 'password = "[jwt_token]"',
+        f'password = "{token}!tail"': 'password = "[generic_password]"',
+        f'api_key = "{token}"': 'api_key = "[github_token]"',
+        "secret:\n  a_long_identifier_name": "secret:\n  a_long_identifier_name",
+        'pass = "abcdefghijkl"\r\npwd: $1abcdefghijk\n': 'pass = "[generic_password]"\r\npwd: [generic_password]\n',
+    }
+    df = corpus(spark, *((f"{i}.py", t) for i, t in enumerate(texts)), ("z.py", None))
+    got = [r[0] for r in df.orderBy("file_id").select(scan.masked_content("content")).collect()]
+    assert got == [*texts.values(), None]
+
+
 def test_summaries_retry(spark):
     def model(prompt):
         if "bad" in prompt:
