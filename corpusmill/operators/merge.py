@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrow import map_columns
+from corpusmill.operators import nested
+
 #: Base score by parser quality. Fixed values.
 QUALITY = {"full": 0.4, "partial": 0.25, "basic": 0.15}
 
@@ -23,6 +26,60 @@ def confidence(quality: Column, error: Column, declarations: Column, complete: C
     return F.when(error.isNotNull() & (error != ""), 0.3).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
+def _given(value) -> bool:
+    """Whether an attribute holds anything: an empty list may be written as text."""
+    return value not in (None, "", "[]", [], {})
+
+
+def _top(text: str | None, root: nested.Root) -> list:
+    value, ok = nested._load(text)
+    return nested.entries(value, root) if ok else []
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """(file_id, declarations, complete, imports): numbers of top-level declarations, of those with docstring, signature or modifiers, and of imports."""
+
+    def kernel(ids, decls, imports):
+        out: list[list] = [[], [], [], []]
+        for i, d, m in zip(ids, decls, imports):
+            top = _top(d, nested.DECLARATIONS)
+            full = sum(any(_given(e.get(k)) for k in ("docstring", "signature", "modifiers")) for e in top)
+            for c, v in zip(out, (i, len(top), full, len(_top(m, nested.IMPORTS)))):
+                c.append(v)
+        return out
+
+    rows = map_columns(files, ["file_id", "declarations", "imports"], kernel, "file_id bigint, declarations int, complete int, imports int")
+    return rows.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("declarations", "complete", "imports")))
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """(file_id, ord, kind, name, start_line, end_line, docstring, signature, modifiers, children) of every top-level declaration; the last two are counts."""
+
+    def number(value) -> int | None:
+        try:
+            return int(value)
+        except (TypeError, ValueError):
+            return None
+
+    def text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else str(value)
+
+    def kernel(ids, decls):
+        out: list[list] = [[] for _ in range(10)]
+        for i, d in zip(ids, decls):
+            for k, e in enumerate(_top(d, nested.DECLARATIONS)):
+                mods = e.get("modifiers")
+                if isinstance(mods, str) and mods.strip()[:1] == "[":
+                    mods = nested._load(mods)[0]
+                n = len(mods) if isinstance(mods, (list, dict)) else int(_given(mods))
+                for c, v in zip(out, (i, k, text(e.get("kind")), text(e.get("name")), number(e.get("start_line")), number(e.get("end_line")), text(e.get("docstring")), text(e.get("signature")), n, len(nested.entries(e.get("children"), nested.DECLARATIONS)))):
+                    c.append(v)
+        return out
+
+    kind = "file_id bigint, ord int, kind string, name string, start_line int, end_line int, docstring string, signature string, modifiers int, children int"
+    return map_columns(files, ["file_id", "declarations"], kernel, kind).dropDuplicates(["file_id", "ord"])
+
+
 def parses(results: DataFrame, declared: DataFrame) -> DataFrame:
     """Distinct parser rows with the declarations and imports found for their file, and their confidence."""
     p = results.select("file_id", "parser_ord", "parser_type", "parser_quality", "error", "missed_features", "confidence_score").dropDuplicates(["file_id", "parser_ord", "parser_type"])

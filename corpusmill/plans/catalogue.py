@@ -306,6 +306,47 @@ def merge_confidence(spark, d):
     return merge.by_confidence(_parses(spark, d))
 
 
+# The same with what each file declares and imports in the confidence; JSON of many shapes, so without SQL.
+def _parses_declared(spark, d):
+    return merge.parses(table(spark, d, "parse_results"), merge.declared(table(spark, d, "parsed_files")))
+
+
+@query("parse_confidence_declared")
+def parse_confidence_declared(spark, d):
+    return _parses_declared(spark, d).select("file_id", "parser_ord", "parser_type", "confidence")
+
+
+@query("merge_fast_fail_declared")
+def merge_fast_fail_declared(spark, d):
+    return merge.fast_fail(_parses_declared(spark, d))
+
+
+@query("merge_confidence_declared")
+def merge_confidence_declared(spark, d):
+    return merge.by_confidence(_parses_declared(spark, d))
+
+
+def _merged(spark, d, strategy):
+    """The tables hold declarations by file, so that each usable parser of a file has them."""
+    usable = merge.usable(_parses_declared(spark, d)).select("file_id", "parser_ord", "parser_type", "confidence")
+    return merge.merge_declarations(usable.join(merge.declarations(table(spark, d, "parsed_files")), "file_id"), strategy)
+
+
+@query("merge_declarations_confidence")
+def merge_declarations_confidence(spark, d):
+    return _merged(spark, d, "confidence")
+
+
+@query("merge_declarations_union")
+def merge_declarations_union(spark, d):
+    return _merged(spark, d, "union")
+
+
+@query("merge_declarations_best_of_breed")
+def merge_declarations_best_of_breed(spark, d):
+    return _merged(spark, d, "best_of_breed")
+
+
 # --------------------------------------------------------------------------------------------- trees, graph
 def _states(spark, d):
     """Two states of the tree: the second lacks some files, has some under another name and some changed."""

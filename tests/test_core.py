@@ -109,6 +109,23 @@ def test_merge_strategies(spark):
     assert of == {"confidence": {"a": 1, "b": 1}, "union": {"a": 0, "b": 1}, "best_of_breed": {"a": 1, "b": 1}}
 
 
+def test_confidence_counts_declarations(spark, tmp_path):
+    import __spark_entry__ as e
+
+    d = str(tmp_path)
+    four = json.dumps([{"name": "a", "kind": "f", "start_line": 1, "end_line": 2, "signature": "a()"}, {"name": "b", "docstring": "x"}, {"name": "c", "modifiers": "[]"}, {"name": "d", "children": [{"name": "e", "docstring": "x"}]}])
+    spark.createDataFrame([(1, four, '["os", "re"]'), (1, four, '["os", "re"]'), (2, None, None)], "file_id long, declarations string, imports string").write.parquet(f"{d}/parsed_files.parquet")
+    s = "file_id long, parser_ord int, parser_type string, parser_quality string, error string, missed_features array<string>, confidence_score double"
+    spark.createDataFrame([(1, 0, "p", "full", None, None, None), (1, 1, "q", "full", "boom", None, None), (1, 2, "r", "basic", None, None, 0.5), (2, 0, "p", "full", None, None, 0.0)], s).write.parquet(f"{d}/parse_results.parquet")
+    q = e.queries()
+    got = {(r.file_id, r.parser_type): r.confidence for r in q["parse_confidence_declared"](spark, d).collect()}
+    assert got == {(1, "p"): 0.62, (1, "q"): 0.3, (1, "r"): 0.5, (2, "p"): 0.4}
+    assert {(r.file_id, r.parser_type) for r in q["merge_fast_fail_declared"](spark, d).collect()} == {(1, "p"), (2, "p")}
+    assert {(r.file_id, r.base) for r in q["merge_confidence_declared"](spark, d).collect()} == {(1, "p"), (2, "p")}
+    for k in ("confidence", "union", "best_of_breed"):
+        assert sorted((r.name, r.parser_type, r.children) for r in q[f"merge_declarations_{k}"](spark, d).collect()) == [("a", "p", 0), ("b", "p", 0), ("c", "p", 0), ("d", "p", 1)]
+
+
 def test_diff_and_patches(spark):
     s = "path string, content string"
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "9"), ("e", "9")], s)
