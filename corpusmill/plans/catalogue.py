@@ -269,6 +269,31 @@ def compressed_documents(spark, d):
     return compress.compressed(_scored(spark, d))
 
 
+# The same with the files' declarations and findings in the scores; parsers are not SQL.
+def _scored_whole(spark, d):
+    return pipeline.scored(_files(spark, d))
+
+
+@query("line_importance_whole")
+def line_importance_whole(spark, d):
+    return _scored_whole(spark, d).groupBy("file_id", F.round("importance", 2).alias("importance")).agg(F.count("*").alias("lines"))
+
+
+@query("segments_whole")
+def segments_whole(spark, d):
+    return compress.segments(_scored_whole(spark, d))
+
+
+@query("compression_summary_whole")
+def compression_summary_whole(spark, d):
+    return compress.summary(compress.segments(_scored_whole(spark, d)))
+
+
+@query("compressed_documents_whole")
+def compressed_documents_whole(spark, d):
+    return compress.compressed(_scored_whole(spark, d))
+
+
 @query("compressed_with_issues")
 def compressed_with_issues(spark, d):
     issues = table(spark, d, "security_issues").select("file_id", "line_number", "severity").distinct()

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import compress, files, render, scan
+from corpusmill.operators import compress, files, parse, render, scan
 
 PRESETS = {"lean": {"compress": True, "level": "aggressive", "mask": True}, "medium": {"compress": True, "level": "medium", "mask": True}, "full": {"compress": False, "level": "low", "mask": False}}
 
@@ -40,14 +40,23 @@ def kept(corpus: DataFrame, spec: Spec) -> DataFrame:
     return corpus.filter(reason.isNull())
 
 
+def scored(corpus: DataFrame, level: str = "medium", masked: DataFrame | None = None) -> DataFrame:
+    """Line scores with the corpus's own declarations and findings; ``masked`` is the same corpus, line for line, as it is shown.
+
+    A line with a finding is always kept, so that no placeholder stands for one.
+    """
+    issues = scan.unignored(corpus).select("file_id", F.col("line_no").alias("line_number"), "severity")
+    return compress.importance(corpus if masked is None else masked, issues, parse.declarations(corpus), level=level)
+
+
 def run(corpus: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """(repo, n, path, chunk) from (file_id, repo, path, content)."""
     if spec.format not in render.FORMATS:
         raise ValueError(f"unknown format {spec.format!r}")
-    out = kept(corpus, spec)
+    raw = out = kept(corpus, spec)
     if spec.mask:
         out = out.withColumn("content", scan.masked_content("content"))
     if spec.compress:
-        small = compress.compressed(compress.importance(out, level=spec.level), spec.level, spec.keep_threshold)
+        small = compress.compressed(scored(raw, spec.level, out), spec.level, spec.keep_threshold)
         out = out.join(small.withColumnRenamed("content", "small"), "file_id", "left").withColumn("content", F.coalesce("small", "content")).drop("small")
     return render.chunks(out, spec.format)
