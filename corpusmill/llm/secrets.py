@@ -16,15 +16,21 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
 
+_BACKTICK = r"`(?:[^`\\]|\\[\s\S])*+`"
 _LITERAL = re.compile(
-    r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\[\s\S])*+"|(?<![A-Za-z0-9])\'(?:[^\'\\\n]|\\[\s\S])*+\'|`[^`]{8,4000}`'
+    r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\[\s\S])*+"|(?<![A-Za-z0-9])\'(?:[^\'\\\n]|\\[\s\S])*+\'|' + _BACKTICK
 )
+#: Go has no escapes between backticks.
+_LITERAL_GO = re.compile(_LITERAL.pattern.removesuffix(_BACKTICK) + r"`[^`]*+`")
+#: Before a backtick: it stands in a comment, where it pairs on its line only.
+_COMMENTED = re.compile(r"^[ \t]*(?:#+!?(?=\s)|//|/\*|\*(?=[\s/])|--(?=\s))|[\s;{}](?:#|//|/\*)(?=\s)", re.M)
 #: What a value must hold before anything else is asked.
 _LIKELY = re.compile(r"\d|[a-z][A-Z]|BEGIN|[!#%^*+]")
 _ISSUED = re.compile(
@@ -154,12 +160,23 @@ def _pem(text: str, context: bool) -> list[tuple[int, int]]:
     return out
 
 
-def find(text: str, yaml: bool = False, context: bool = False) -> list[tuple[int, int]]:
+def _literals(text: str, go: bool) -> Iterator[re.Match]:
+    """The literals of a text, in order."""
+    p, at = _LITERAL_GO if go else _LITERAL, 0
+    while m := p.search(text, at):
+        a, at = m.span()
+        if text[a] == "`" and "\n" in m[0] and _COMMENTED.search(text, text.rfind("\n", 0, a) + 1, a):
+            at = a + 1
+            continue
+        yield m
+
+
+def find(text: str, yaml: bool = False, context: bool = False, go: bool = False) -> list[tuple[int, int]]:
     """(start, end) of every secret value of a text, in order, without overlaps."""
     found = _pem(text, context)
     joined_to: tuple[int, bool] = (-1, False)
     quotes: list[tuple[int, int]] = []
-    for m in _LITERAL.finditer(text):
+    for m in _literals(text, go):
         a, b = m.span()
         width = 3 if text.startswith(('"""', "'''"), a) and b - a >= 6 else 1
         lo, hi = a + width, b - width
@@ -256,7 +273,7 @@ def _inputs(files: DataFrame, issues: DataFrame) -> DataFrame:
 def _spans(tbl: str, path: str | None, text: str | None) -> list[tuple]:
     if not text or not text.strip():
         return []
-    return find(text, (path or "").endswith((".yml", ".yaml")), tbl == "security_issues")
+    return find(text, (path or "").endswith((".yml", ".yaml")), tbl == "security_issues", (path or "").endswith(".go"))
 
 
 def found(files: DataFrame, issues: DataFrame) -> DataFrame:

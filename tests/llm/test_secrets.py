@@ -40,6 +40,21 @@ def test_lines_and_redaction_in_place():
     assert len(out) == len(text) and out.count("\n") == text.count("\n") and "4ggQ" not in out and "XNsG" not in out and 'p = "a\\n"' in out
 
 
+@pytest.mark.parametrize("filler", ["x${i}", "", "a\\`b", "line\n" * 1000, "y" * 5000])
+def test_templates_of_any_length_hide_nothing(filler):
+    text = f"const a = `{filler}`;\nconst password = \"Zk8!qpL2vN\";\nconst b = `hello world`;\n"
+    spans = secrets.find(text)
+    assert [text[s[0] : s[1]] for s in spans] == ["Zk8!qpL2vN"]
+    assert secrets.find(secrets.redact(text, spans)) == []
+
+
+def test_backticks_in_comments_and_go():
+    text = "// an odd ` in a comment\nconst password = \"Zk8!qpL2vN\";\nconst b = `hello world`;\n"
+    assert [text[a:b] for a, b in secrets.find(text)] == ["Zk8!qpL2vN"]
+    go = "p := `C:\\`\npassword := \"Zk8!qpL2vN\"\nq := `C:\\`\n"
+    assert [go[a:b] for a, b in secrets.find(go, go=True)] == ["Zk8!qpL2vN"]
+
+
 def test_operator(spark):
     files = spark.createDataFrame([(1, "a.py", 'password = "Copper%otter4711"\n', "x"), (1, "a.py", 'password = "Copper%otter4711"\n', "x"), (2, "b.yml", "db_password: Marble-otter5321\n", "x"), (3, None, None, "x"), (4, "c.py", "", "x"), (5, "d.py", "x = 'a'\n" * 20_000, "x")], "file_id long, file_path string, content string, tbl string")
     issues = spark.createDataFrame([(7, None, 'x = 1\ntoken = "ghp_qjlyQswfL9rcGH65P2cGjethWU5D2EbcLqSv"', "r"), (8, "a.py", '"T#sFyx7koG^#Per!Rzj";', "r"), (9, "a.py", 'password = "****"', "r"), (10, "a.py", None, "r")], "issue_id long, file_path string, context string, row_id string")
