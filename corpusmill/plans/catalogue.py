@@ -519,6 +519,11 @@ def rendered_markdown_roundtrip(spark, d):
     return render.reconstruct(render.chunks(plain, "markdown").select(F.col("chunk").alias("document")), "markdown").select("path", F.sha2("content", 256).alias("h"))
 
 
+@query("rendered_markdown_roundtrip_all", f"WITH {FILES} SELECT path, sha256(coalesce(content, '')) AS h FROM f")
+def rendered_markdown_roundtrip_all(spark, d):
+    return render.reconstruct(render.chunks(_files(spark, d), "markdown").select(F.col("chunk").alias("document")), "markdown").select("path", F.sha2("content", 256).alias("h"))
+
+
 @query("summaries_due")
 def summaries_due(spark, d):
     done = table(spark, d, "summaries").filter("error is null").select("file_id").distinct()

@@ -149,6 +149,17 @@ def test_round_trip(spark, kind):
     assert {r.path: r.content for r in render.reconstruct(whole, kind).collect()} == tricky
 
 
+def test_markdown_round_trip_query_has_every_file(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as e
+
+    texts = {"a.py": "x = 1\r\ny = 2\r\n", "b.py": "x\ry\r", "c.py": "```\r\n`", "d.py": "\r", "e.py": "x", "f.md": "# a\r\n\r\n````\r\nb\r\n````\r\n", "g.py": None}
+    corpus(spark, *texts.items()).withColumnRenamed("path", "file_path").write.parquet(f"{tmp_path}/parsed_files.parquet")
+    got = {r.path: r.h for r in e.queries()["rendered_markdown_roundtrip_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"r/{p}": hashlib.sha256((c or "").encode()).hexdigest() for p, c in texts.items()}
+
+
 def test_loose_json():
     assert render.read_json(json.dumps({"files": [{"path": "a.py", "code": "1"}, {"x": {"b/c": "2"}}]})) == {"a.py": "1", "b/c": "2"}
 
