@@ -22,22 +22,26 @@ from corpusmill.functions.arrow import map_columns
 from corpusmill.llm import functions, lexers, prose, syntax
 from corpusmill.session import cut
 
-PAIR = "file_id bigint, repo string, language string, name string, kind string, signature string, start_line int, description string, code string, owner string, supers array<string>, own boolean"
+PAIR = "file_id bigint, repo string, language string, name string, kind string, signature string, start_line int, description string, code string, owner string, supers array<string>, own boolean, role string"
 _INHERIT = re.compile(r"[@{]\s*@?inheritdoc", re.I)
 
 
-def file_functions(path: str | None, content: str | None) -> tuple[str | None, list[tuple]]:
-    """The documented functions of a file; nothing for one that does not parse."""
+def file_functions(path: str | None, content: str | None, bodyless: list | None = None, classes: list | None = None) -> tuple[str | None, list[tuple]]:
+    """The documented functions of a file; nothing for one that does not parse. The lists receive methods without body and the classes."""
     language = lexers.language_of(path)
     if language in (None, "json", "yaml") or content is None or not (text := syntax.plain(content)).strip():
         return language, []
     if language == "python":
         tree = syntax.python_tree(text)
+        if tree and classes is not None:
+            classes += functions.hierarchy(language, text, None, tree)
         return language, functions.extract(language, text, None, tree) if tree else []
     scan = lexers.scan(language, text)
     if not syntax.valid(language, text, scan):
         return language, []
-    return language, functions.extract(language, text, scan.spans)
+    if classes is not None:
+        classes += functions.hierarchy(language, text, scan.spans)
+    return language, functions.extract(language, text, scan.spans, None, bodyless)
 
 
 def documented(files: DataFrame) -> DataFrame:
@@ -56,37 +60,52 @@ def documented(files: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """Every function with its own documentation, or with one to inherit (own is false)."""
+    """Every function with its own documentation, or with one to inherit (own is false).
+
+    role: function, or what only helps to resolve: told (a documented method without body), class (one with supers).
+    """
 
     def kernel(ids, repos, paths, contents):
-        out: list[list] = [[] for _ in range(12)]
+        out: list[list] = [[] for _ in range(13)]
         for i, repo, path, content in zip(ids, repos, paths, contents):
-            language, found_ = file_functions(path, content)
+            bodyless, classes = [], []
+            language, found_ = file_functions(path, content, bodyless, classes)
+            for name, line, doc, params, owner in bodyless:
+                if prose.informative(doc, name, params):
+                    for c, v in zip(out, (i, repo, language, name, "method", None, line, doc.strip(), None, owner, [], True, "told")):
+                        c.append(v)
+            for name, line, supers in classes:
+                for c, v in zip(out, (i, repo, language, name, "class", None, line, None, None, name, list(supers), False, "class")):
+                    c.append(v)
             for name, kind, signature, line, doc, params, owner, supers, code in found_:
                 own = prose.informative(doc, name, params)
                 if own or (supers and owner and (doc is None or _INHERIT.search(doc))):
-                    for c, v in zip(out, (i, repo, language, name, kind, signature, line, (doc or "").strip() if own else None, code, owner, list(supers), own)):
+                    for c, v in zip(out, (i, repo, language, name, kind, signature, line, (doc or "").strip() if own else None, code, owner, list(supers), own, "function")):
                         c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, PAIR, costly=True).dropDuplicates(["file_id", "start_line", "name"])
+    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, PAIR, costly=True).dropDuplicates(["file_id", "start_line", "name", "role"])
 
 
-def pairs(files: DataFrame, max_levels: int = 16) -> DataFrame:
-    """(file_id, language, name, kind, signature, start_line, description, code, inherited)."""
-    all_ = cut(candidates(files))
+def pairs(files: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """(file_id, language, name, kind, signature, start_line, description, code, inherited). Levels are joined until none is open; ``max_levels`` may stop before."""
+    every = cut(candidates(files))
+    all_ = every.filter("role = 'function'")
     shown = ["file_id", "language", "name", "kind", "signature", "start_line", "description", "code"]
     own = all_.filter("own").select(*shown, F.lit(False).alias("inherited"))
-    told = all_.filter("own and owner is not null").groupBy("repo", F.col("owner").alias("parent"), "name").agg(F.min_by("description", F.struct("file_id", "start_line")).alias("told"))
-    above = all_.filter("owner is not null").select("repo", F.col("owner").alias("parent"), F.explode("supers").alias("next")).distinct()
+    told = every.filter("own and owner is not null").groupBy("repo", F.col("owner").alias("parent"), "name").agg(F.min_by("description", F.struct("file_id", "start_line")).alias("told"))
+    above = every.filter("owner is not null").select("repo", F.col("owner").alias("parent"), F.explode("supers").alias("next")).distinct()
     open_ = all_.filter("not own").select("file_id", "start_line", "repo", "name", F.explode("supers").alias("parent"))
-    resolved = None
-    for _ in range(max_levels):
-        hit = open_.join(told, ["repo", "parent", "name"], "left")
-        hit = cut(hit)
-        done = hit.filter("told is not null").groupBy("file_id", "start_line", "name").agg(F.min("told").alias("description"))
-        resolved = done if resolved is None else resolved.unionByName(done.join(resolved, ["file_id", "start_line", "name"], "left_anti"))
-        open_ = hit.filter("told is null").join(above, ["repo", "parent"]).select("file_id", "start_line", "repo", "name", F.col("next").alias("parent")).distinct()
+    row = ["file_id", "start_line", "name"]
+    resolved, seen, level = None, open_.limit(0), 0
+    while max_levels is None or level < max_levels:
+        level += 1
+        hit = cut(open_.join(told, ["repo", "parent", "name"], "left"))
+        done = hit.filter("told is not null").groupBy(*row).agg(F.min("told").alias("description"))
+        resolved = done if resolved is None else resolved.unionByName(done)
+        seen = seen.unionByName(hit.drop("told"))
+        step = hit.filter("told is null").join(above, ["repo", "parent"]).select("file_id", "start_line", "repo", "name", F.col("next").alias("parent")).distinct()
+        open_ = step.join(done, row, "left_anti").join(seen, [*row, "parent"], "left_anti")
         if open_.isEmpty():
             break
     inherited = all_.filter("not own").drop("description").join(resolved, ["file_id", "start_line", "name"]).select(*shown, F.lit(True).alias("inherited"))

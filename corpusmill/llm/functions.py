@@ -27,7 +27,9 @@ _HEADERS = {
     "ruby": re.compile(r"\s*(?:(?:private|protected|public|module_function|private_class_method)\s+)?def\s+(?:self\s*\.\s*)?(?P<name>[^\W\d]\w*[?!=]?|[-+*/%<>=!~\[\]^&|]+)"),
 }
 _NOT_NAMES = frozenset("if for while switch catch return function with new await typeof do else try throw match sizeof defer go super synchronized".split())
-_CLASS = re.compile(rf"\b(?:class|interface|impl|module|namespace|struct|enum)\s+(?P<name>{NAME})(?P<supers>[^{{;\n]*)")
+_CLASS = re.compile(rf"\b(?P<what>class|interface|impl|module|namespace|struct|enum)\s+(?P<name>{NAME})(?P<supers>[^{{;\n]*)")
+#: Where a brace must follow, supers may stand on further lines.
+_CLASS_BRACE = re.compile(rf"\b(?P<what>class|interface|namespace|enum|record)\s+(?P<name>{NAME})(?P<supers>[^{{;}}]*)(?=\{{)")
 _PAREN = re.compile(r"[()]")
 
 
@@ -63,8 +65,14 @@ _BODY = {
 }
 
 
-def header(language: str, code: str, at: int) -> tuple[int, int, str] | None:
-    """(start of the name, end of the parameters, kind) of a named function with a body that starts after ``at``."""
+def classes_of(language: str, code: str) -> list[tuple[int, str, tuple, str]]:
+    """(start, name, supers, keyword) of every class-like header of a masked text, in order."""
+    p = _CLASS_BRACE if language in ("java", "javascript", "typescript") else _CLASS
+    return [(m.start(), m["name"], tuple(x for x in re.findall(NAME, m["supers"]) if x not in ("extends", "implements", "for", "where")), m["what"]) for m in p.finditer(code)]
+
+
+def header(language: str, code: str, at: int, body: bool = True) -> tuple[int, int, str] | None:
+    """(start of the name, end of the parameters, kind) of a named function, with a body unless ``body`` is false, that starts after ``at``."""
     if language in ("javascript", "typescript"):
         m = _SCRIPT.match(code, at)
         if not m:
@@ -87,7 +95,7 @@ def header(language: str, code: str, at: int) -> tuple[int, int, str] | None:
         if end < 0:
             return None
         arrow = (which == "v" and not (m["arrow"] or "").startswith("function")) or (which == "m" and m["field"])
-        if not (_BODY["arrow"] if arrow else _BODY["javascript"]).match(code, end):
+        if body and not (_BODY["arrow"] if arrow else _BODY["javascript"]).match(code, end):
             return None
         return start, end, "method" if which == "m" else "function"
     m = _HEADERS[language].match(code, at)
@@ -100,7 +108,7 @@ def header(language: str, code: str, at: int) -> tuple[int, int, str] | None:
     while code[p : p + 1].isspace():
         p += 1
     end = _close(code, p)
-    if end < 0 or not _BODY[language].match(code, end):
+    if end < 0 or body and not _BODY[language].match(code, end):
         return None
     return start, end, "method" if language == "java" or (language == "go" and m["recv"]) else "function"
 
@@ -185,7 +193,7 @@ def _python(tree: ast.Module, text: str) -> list[tuple]:
             a = node.args
             params = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))]
             if doc is not None or owner:
-                end = min(max(first.lineno - 1, node.lineno), node.lineno + 30)
+                end = max(first.lineno - 1, node.lineno)
                 signature = " ".join(x.strip() for x in lines[node.lineno - 1 : end if first.lineno > node.lineno else node.lineno])
                 code = "\n".join(lines[node.lineno - 1 : node.end_lineno])
                 out.append((node.name, "method" if owner else "function", signature, node.lineno, doc, params, owner, supers, code))
@@ -214,15 +222,29 @@ def _end_of(language: str, code: str, at: int) -> int:
     return len(code)
 
 
-def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None, tree: ast.Module | None = None) -> list[tuple]:
-    """(name, kind, signature, start_line, doc, params, owner, supers, code) of the documented functions of a valid file."""
+def hierarchy(language: str, text: str, spans: list[tuple[int, int, str]] | None, tree: ast.Module | None = None) -> list[tuple[str, int, tuple]]:
+    """(class, start_line, supers) of every class that has supers, with or without methods."""
+    if language == "python":
+        bases = ((n, tuple(b.id if isinstance(b, ast.Name) else b.attr for b in n.bases if isinstance(b, (ast.Name, ast.Attribute)))) for n in ast.walk(tree) if isinstance(n, ast.ClassDef)) if tree else ()
+        return [(n.name, n.lineno, b) for n, b in bases if b]
+    if language not in _DOC_FORMS:
+        return []
+    code = masked(text, spans or [])
+    return [(name, code.count("\n", 0, at) + 1, supers) for at, name, supers, _ in classes_of(language, code) if supers]
+
+
+def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None, tree: ast.Module | None = None, bodyless: list[tuple] | None = None) -> list[tuple]:
+    """(name, kind, signature, start_line, doc, params, owner, supers, code) of the documented functions of a valid file.
+
+    ``bodyless`` receives (name, start_line, doc, params, owner) of documented interface and abstract methods.
+    """
     if language == "python":
         return _python(tree, text) if tree else []
     if language not in _DOC_FORMS or not spans:
         return []
     code = masked(text, spans)
     starts: list[int] | None = None
-    classes: list[tuple[int, str, tuple]] | None = None
+    classes: list[tuple[int, str, tuple, str]] | None = None
     out = []
     forms = _DOC_FORMS[language]
     for a, b, form in blocks(language, text, spans):
@@ -238,16 +260,23 @@ def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None,
         if "/*" in text[b:at] or "//" in text[b:at]:
             continue
         h = header(language, code, at)
+        lacks = not h and bodyless is not None and language in ("java", "javascript", "typescript")
+        if lacks:
+            h = header(language, code, at, body=False)
         if not h or (gap := text[at : h[0]]).count("/*") or "//" in gap:
             continue
         start, end, kind = h
         if starts is None:
             starts = [0, *(m.end() for m in re.finditer("\n", text))]
-            classes = [(m.start(), m["name"], tuple(x for x in re.findall(NAME, m["supers"]) if x not in ("extends", "implements", "for", "where"))) for m in _CLASS.finditer(code)]
+            classes = classes_of(language, code)
         name = re.compile(r"[\w$#?!=]+").match(text, start)
         name = name[0] if name else text[start]
         params = re.findall(NAME, code[start + len(name) : end]) if language != "ruby" else re.findall(NAME, code[end : code.find("\n", end)])
-        owner = next((c for c in reversed(classes) if c[0] < start), (0, None, ()))
+        owner = next((c for c in reversed(classes) if c[0] < start), (0, None, (), ""))
+        if lacks:
+            if owner[1] and (owner[3] == "interface" or re.search(r"\babstract\b", code[at:start])):
+                bodyless.append((name, bisect_right(starts, start), clean(text[a:b]), params, owner[1]))
+            continue
         head = text[at:end].strip() if language != "ruby" else text[at : text.find("\n", end) if "\n" in text[end:] else len(text)].strip()
         out.append((name, kind, " ".join(head.split()), bisect_right(starts, start), clean(text[a:b]), params, owner[1], owner[2], text[line : _end_of(language, code, end)]))
     return out

@@ -45,5 +45,20 @@ def test_inherited_documentation(spark, files):
     assert got[5, "m"] == (REAL, True)
 
 
+def test_inherited_through_bare_classes_and_interfaces(spark, files):
+    chain = [f'class C0:\n    def m(self):\n        """{REAL}"""\n', *(f"class C{i}(C{i - 1}):\n    x = 1\n" for i in range(1, 17)), "class C17(C16):\n    def m(self):\n        return 1\n"]
+    loop = "class P(Q):\n    def z(self):\n        return 1\nclass Q(P):\n    x = 1\n"
+    face = f"public interface Face {{\n  /** {REAL} */\n  int m(int a);\n}}\n"
+    kid = "public class Kid\n    implements Face {\n  /** {@inheritDoc} */\n  public int m(int a) { return 1; }\n}\n"
+    rows = docpairs.pairs(files((1, "a.py", "".join(chain)), (2, "l.py", loop), (3, "Face.java", face), (4, "Kid.java", kid))).collect()
+    got = {(r.file_id, r.name, r.inherited): r.description for r in rows}
+    assert got == {(1, "m", False): REAL, (1, "m", True): REAL, (4, "m", True): REAL} and all(r.kind != "class" and r.code for r in rows)
+
+
+def test_whole_signature(spark, files):
+    text = "def f(\n" + "".join(f"    a{i},\n" for i in range(40)) + f'):\n    """{REAL}"""\n'
+    assert docpairs.pairs(files((1, "a.py", text))).first().signature.endswith("a39, ):")
+
+
 def test_empty(spark, files):
     assert docpairs.documented(files((1, "a.py", "")).limit(0)).count() == 0
