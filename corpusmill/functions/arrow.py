@@ -13,10 +13,11 @@ from pyspark.sql.types import StructType
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions to keep every core busy with costly kernels.
 
-    Only an input with fewer partitions than cores is shuffled, which no large one is.
+    Only an input with fewer partitions than cores is shuffled, which no large one is: there, tasks are
+    the scan's own splits (spark.sql.files.maxPartitionBytes).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Sequence[list]], schema: str | StructType, costly: bool = False) -> DataFrame:
@@ -35,3 +36,22 @@ def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Seq
 
     narrow = df.select(*columns)
     return (spread(narrow) if costly else narrow).mapInArrow(run, kind)
+
+
+def map_rows(df: DataFrame, carry: Sequence[str], columns: Sequence[str], kernel: Callable[..., Sequence[list]], schema: str, costly: bool = False) -> DataFrame:
+    """One row out for each row in: the ``carry`` columns as they are, then what ``kernel(*column_lists)`` gives.
+
+    The kernel's lists are as long as its input. ``carry`` columns never become Python objects.
+    """
+    narrow = df.select(*carry, *(c for c in columns if c not in carry))
+    given = StructType.fromDDL(schema)
+    kind = StructType([*narrow.schema.fields[: len(carry)], *given.fields])
+    arrow, own = to_arrow_schema(kind), to_arrow_schema(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = kernel(*(batch.column(c).to_pylist() for c in columns))
+            kept = [batch.column(c).cast(arrow.field(c).type) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, type=f.type) for v, f in zip(out, own))], schema=arrow)
+
+    return (spread(narrow) if costly else narrow).mapInArrow(run, kind)

@@ -14,12 +14,14 @@ from corpusmill.functions import text as T
 from corpusmill.operators import files as K
 
 
-def due(files: DataFrame, cached: DataFrame | None = None, least_lines: int = 20, languages: tuple[str, ...] = ()) -> DataFrame:
-    """Files worth a summary that have none yet."""
-    out = files.filter(T.line_count("content") >= least_lines)
+def due(files: DataFrame, cached: DataFrame | None = None, least_lines: int = 20, languages: tuple[str, ...] = (), excludes: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id) of the files worth a summary that have none yet: long enough, of a wanted language, no excluded path."""
+    out = K.once(files, "path", T.line_count("content").alias("lines")).filter(F.col("lines") >= least_lines)
     if languages:
         out = out.filter(K.language_by_extension("path").isin(*languages))
-    return out.join(cached, "file_id", "left_anti") if cached is not None else out
+    if excludes:
+        out = out.filter(~K.matches_any("path", excludes))
+    return (out.join(cached, "file_id", "left_anti") if cached is not None else out).select("file_id")
 
 
 def first_lines(prompt: str) -> str:

@@ -39,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one beside the warehouse only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; one beside the warehouse only where that is unset on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
         named = os.path.join(os.path.dirname(warehouse.rstrip("/")) or "/tmp", "spark-warehouse", "checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
