@@ -293,7 +293,7 @@ _TAGS = {"keep_tags": ("important", "keep")}
 def _scored(spark, d):
     """Files with their findings and the declarations that their deliveries tell of."""
     told = table(spark, d, "parsed_files")
-    starts = nested.shred(told.select("file_id", "declarations"), "file_id", (nested.DECLARATIONS,)).filter("element = 'declaration'").select(F.col("record_id").alias("file_id"), F.col("attributes")["start_line"].cast("int").alias("start_line"))
+    starts = nested.shred(told.select("file_id", "declarations", "ingested_at", "collected_at"), "file_id", (nested.DECLARATIONS,)).filter("element = 'declaration'").select(F.col("record_id").alias("file_id"), F.col("attributes")["start_line"].cast("int").alias("start_line"))
     return compress.table_marks(_files(spark, d), table(spark, d, "security_issues").select("file_id", "line_number", "severity").distinct(), starts)
 
 

@@ -46,8 +46,41 @@ def test_tables_inline_and_link(spark):
 
 
 def test_plan_finds_recursive_and_shared():
-    plan = nested.analyse([("r", "a", "b", "object"), ("r", "b", "a", "object"), ("r", "c", "d", "object"), ("r", "e", "d", "object"), ("r", "c", "f", "object")], ())
-    assert {"a", "b", "d"} <= plan.tables and "f" not in plan.tables
+    root = nested.Root("c", "r", frozenset({"q"}))
+    plan = nested.analyse([("r", "r", "a", "object"), ("r", "a", "b", "object"), ("r", "b", "a", "object"), ("r", "r", "c", "object"), ("r", "c", "d", "object"), ("r", "r", "e", "object"), ("r", "e", "d", "object"), ("r", "c", "f", "object"), ("r", "d", "x", "bigint"), ("r", "f", "y", "string")], (root,))
+    assert {("r", "a", "b"), ("r", "b", "a"), ("r", "c", "d"), ("r", "e", "d")} <= plan.tables and not any(k == "f" for _, _, k in plan.tables)
+    assert plan.attributes["r", "r"] == {"c.f.y": "string"} and plan.attributes["r", "d"] == {"x": "bigint"}
+
+
+AGAIN = nested.Plan(frozenset({("declaration", "children")}))
+
+
+def test_the_plan_decides_the_rows(spark):
+    text = json.dumps([{"kind": "c", "name": "a", "body": {"members": [{"kind": "m", "name": "b", "members": []}]}, "tags": [{"t": 1}]}])
+    df = spark.createDataFrame([(1, text, '[{"name": ["x"]}]', None)], SCHEMA)
+    assert {r.node_path for r in nested.found(df).collect() if r.node_kind == "declaration"} == {"0", "0.0"}  # another key, under another object
+    assert {r.node_path for r in nested.found(df, nested.Plan()).collect() if r.node_kind == "declaration"} == {"0"}
+    related = nested.related(df, "file_id")
+    assert set(related) == {"declaration", "declaration.tags", "import", "import.name"}
+    assert [tuple(r) for r in related["declaration.tags"].collect()] == [(1, "0/tags.0", "declaration", "0", 0, 1)] and dict(related["declaration.tags"].dtypes)["t"] == "bigint"
+    assert {r.name for r in related["declaration"].collect()} == {"a", "b"}  # a list of that name elsewhere does not matter
+
+
+def test_any_depth_and_any_list(spark):
+    deep = "[" + '{"kind": "k", "children": [' * 20_000 + "]}" * 20_000 + "]"
+    assert len(nested.shred_record(nested.parse_json(deep), nested.DECLARATIONS, AGAIN, False)) == 20_000
+    for t in ('[1, {"a": "\\u00e9\\n"}, -1.5e3, true, null, [], {}]', ' {"a": {"b": [[]]}} ', '"x"', "0"):
+        assert nested.parse_json("[" * 3000 + t + "]" * 3000)[0] is not None and nested.parse_json(t) == json.loads(t)
+    for t in ("[1,]", "{'a': 1}", '{"a" 1}', "[1 2]", '{"a": 1,}', "tru", "[", "01"):
+        for wrap in (0, 3000):
+            try:
+                nested.parse_json("[" * wrap + t + "]" * wrap)
+                raise AssertionError(t)
+            except ValueError:
+                pass
+    text = json.dumps([[{"name": "a", "children": [[{"name": "b"}], [[{"name": "c"}]]]}]])
+    plan = nested.analyse([("declaration", *e) for e in nested.edges_of(json.loads(text), nested.DECLARATIONS)])
+    assert [r[1] for r in nested.shred_record(json.loads(text), nested.DECLARATIONS, plan, False)] == ["0", "0.0", "0.1"]
 
 
 def test_empty(spark):
@@ -68,8 +101,7 @@ def brute(nodes, parent=""):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.none(), tree), max_size=4))
 def test_against_recursion(nodes):
-    plan = nested.Plan(frozenset({"declaration", "import"}), {})
-    got = [(r[1], r[2]) for r in nested.shred_record(nodes, nested.DECLARATIONS, plan, False)]
+    got = [(r[1], r[2]) for r in nested.shred_record(nodes, nested.DECLARATIONS, AGAIN, False)]
     assert sorted(got) == sorted(brute(nodes))
 
 
@@ -77,5 +109,4 @@ def test_deep_without_recursion():
     node = {"name": "leaf"}
     for _ in range(3000):
         node = {"name": "n", "children": [node]}
-    plan = nested.Plan(frozenset({"declaration"}), {})
-    assert len(nested.shred_record([node], nested.DECLARATIONS, plan, False)) == 3001
+    assert len(nested.shred_record([node], nested.DECLARATIONS, AGAIN, False)) == 3001
