@@ -3,7 +3,7 @@
 Items are spread over partitions at random and packed there by best-fit decreasing. Dual feasible
 functions give each partition a lower bound on its containers; a partition that meets it is certified.
 Partitions with a gap release their least filled containers, and every partition the containers that are
-half empty; released items of ``fan_in`` partitions are exchanged and packed again, until one partition a
+half empty; released items of neighbouring partitions are exchanged and packed again, until one partition a
 window is left. A document is split only if it alone exceeds the capacity: its full pieces fill containers
 by themselves and only the rest is packed. A rerun is deterministic.
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut
 
-STATE = "window_id int, capacity bigint, part int, container string, doc_id bigint, piece int, tokens bigint, loose boolean, bound bigint"
+STATE = "window_id int, capacity bigint, part int, container string, doc_id bigint, piece int, tokens bigint, loose boolean, bound bigint, used bigint"
+#: How many of the least filled containers a partition releases for each container above its bound.
+GAP_RELEASE = 4
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -67,35 +69,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return place
 
 
-def _packed(round_: int, max_loose: int):
+def _packed(round_: int):
     def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         capacity = int(items["capacity"].iloc[0])
         box = np.array(best_fit(items["tokens"].tolist(), capacity))
         fill = np.bincount(box, weights=items["tokens"])
-        members = np.bincount(box)
         bound = lower_bound(items["tokens"].to_numpy(), capacity)
-        release = fill * 2 <= capacity
-        if len(fill) > bound:
-            release |= fill < capacity
-        order = np.argsort(fill, kind="stable")
-        order = order[release[order]]
-        order = order[np.cumsum(members[order]) <= max_loose]  # what is not released stays packed
-        loose = np.zeros(len(fill), dtype=bool)
-        loose[order] = True
+        gap = len(fill) - bound
+        loose = fill * 2 <= capacity
+        if gap > 0:  # what lies above the bound can be saved only out of the least filled containers
+            loose[np.argsort(fill, kind="stable")[: GAP_RELEASE * gap + 1]] = True
+            loose &= fill < capacity
         items["loose"] = loose[box]
         items["container"] = [f"{key[0]}-{round_}-{key[1]}-{b}" for b in box]
         items["bound"] = bound
-        return items[["window_id", "capacity", "part", "container", "doc_id", "piece", "tokens", "loose", "bound"]]
+        items["used"] = len(fill)
+        return items[["window_id", "capacity", "part", "container", "doc_id", "piece", "tokens", "loose", "bound", "used"]]
 
     return pack
 
 
-def pieces(counts: DataFrame, windows: DataFrame, max_windows: int = 1000) -> DataFrame:
-    """(window_id, capacity, doc_id, piece, tokens): a document over the capacity is cut into full pieces and a rest."""
-    sizes = windows.filter("capacity_tokens > 0").select("window_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct().limit(max_windows + 1).collect()
-    if len(sizes) > max_windows:
-        raise ValueError(f"more than {max_windows} container sizes")
+def pieces(counts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, capacity, doc_id, piece, tokens): a document over the capacity is cut into full pieces and a rest.
+
+    Each document meets each container size, as both are asked for; the sizes are a list on every row, so that
+    nothing is joined.
+    """
+    sizes = windows.filter("capacity_tokens > 0").select("window_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct().collect()
     if not sizes:
         return counts.select(F.lit(0).alias("window_id"), F.lit(0).cast("bigint").alias("capacity"), "doc_id", F.lit(0).alias("piece"), "tokens").limit(0)
     each = F.explode(F.array(*(F.struct(F.lit(r.window_id).alias("window_id"), F.lit(r.capacity).cast("bigint").alias("capacity")) for r in sizes)))
@@ -107,8 +108,13 @@ def pieces(counts: DataFrame, windows: DataFrame, max_windows: int = 1000) -> Da
     return cut_.select("window_id", "capacity", "doc_id", "piece", F.when(F.col("piece") < F.col("full"), F.col("capacity")).otherwise(F.col("rest")).alias("tokens"))
 
 
-def pack(counts: DataFrame, windows: DataFrame, part_items: int = 20_000, fan_in: int = 8, max_loose: int = 20_000) -> DataFrame:
-    """(window_id, container, doc_id, piece, tokens) from (doc_id, tokens)."""
+def pack(counts: DataFrame, windows: DataFrame, part_items: int = 20_000, fan_in: int = 8, certificates: list | None = None) -> DataFrame:
+    """(window_id, container, doc_id, piece, tokens) from (doc_id, tokens).
+
+    ``part_items`` bounds what one task packs. After a round, the loose items of ``fan_in`` neighbouring
+    partitions meet in one, in as many as their number asks for; rounds end with one partition a window, or
+    when partitions no longer become fewer. ``certificates`` receives (window_id, part, bound, used) a round.
+    """
     items = cut(pieces(counts, windows))
     full = items.filter(F.col("tokens") == F.col("capacity")).withColumn("container", F.concat_ws("-", "window_id", F.lit("full"), "doc_id", "piece"))
     rest = items.filter(F.col("tokens") < F.col("capacity"))
@@ -117,14 +123,18 @@ def pack(counts: DataFrame, windows: DataFrame, part_items: int = 20_000, fan_in
     now = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     while True:
         now = now.withColumns({"container": F.lit(""), "loose": F.lit(False), "bound": F.lit(0).cast("bigint")})
-        state = cut(now.groupBy("window_id", "part").applyInPandas(_packed(round_, max_loose), STATE))
-        last = parts == 1
+        state = cut(now.groupBy("window_id", "part").applyInPandas(_packed(round_), STATE))
+        if certificates is not None:
+            certificates.append(state.select(F.lit(round_).alias("round"), "window_id", "part", "bound", "used").distinct())
+        loose = state.filter("loose").groupBy("window_id").count().agg(F.max("count")).first()[0] or 0
+        fewer = max(-(-parts // fan_in), -(-loose // part_items))
+        last = parts == 1 or not loose or fewer >= parts
         kept = state if last else state.filter(~F.col("loose"))
         done.append(kept.select("window_id", "container", "doc_id", "piece", "tokens"))
         if last:
             break
-        parts, round_ = -(-parts // fan_in), round_ + 1
-        now = state.filter("loose").withColumn("part", F.pmod(F.xxhash64("part", F.lit(round_)), F.lit(parts)).cast("int")).select("window_id", "capacity", "doc_id", "piece", "tokens", "part")
+        now = state.filter("loose").withColumn("part", F.floor(F.col("part") * fewer / parts).cast("int")).select("window_id", "capacity", "doc_id", "piece", "tokens", "part")
+        parts, round_ = fewer, round_ + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

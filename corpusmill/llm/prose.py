@@ -56,8 +56,14 @@ def automaton():
     return a
 
 
+#: Lines without any of these are words: no mark of code, no end of code, no query and no command.
+_SUSPECT = re.compile(r"[{}()\[\];:=<>|&$\\_'\"@*?+/~-]|\w\.\w|\s\.\w|^\s*end\s*$|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|MERGE|WITH)\b")
+
+
 def code_like(line: str) -> bool:
     """Whether a line is code, a query, a command or a list of paths and keys rather than words."""
+    if not _SUSPECT.search(line):
+        return False
     if _CODE_END.search(line):
         return True
     marks = len(_CODE_MARK.findall(line))

@@ -76,6 +76,30 @@ def p9_certificate(spark, d):
     return packing.certificate(sizes, windows, packing.pack(sizes, windows))
 
 
+@query("p9_invariants", "SELECT window_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS split_needlessly, 0::BIGINT AS overfull FROM context_windows")
+def p9_invariants(spark, d):
+    """Every document is placed, none is split that fits, no container holds more than its capacity."""
+    from pyspark.sql import functions as F
+
+    packed, sizes = p9_containers(spark, d), table(spark, d, "context_windows").select("window_id", "capacity_tokens")
+    per = packed.groupBy("window_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens")).join(F.broadcast(sizes), "window_id")
+    docs = per.groupBy("window_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split_needlessly"))
+    boxes = packed.groupBy("window_id", "container").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(sizes), "window_id").groupBy("window_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"))
+    return docs.join(boxes, "window_id")
+
+
+@query("p8_decoded", "SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents")
+def p8_decoded(spark, d):
+    """Ids read back through the byte table give every text again."""
+    return tokens.decoded(table(spark, d, "documents"))
+
+
+@query("p1_texts", "SELECT 'documents' AS tbl, source, nullif(lower(trim(lang)), '') AS language, domain, count(*) AS texts FROM documents GROUP BY ALL UNION ALL SELECT 'parsed_files', repo, nullif(lower(trim(language)), ''), NULL, count(*) FROM (SELECT DISTINCT ON (file_id) * FROM parsed_files ORDER BY file_id, ingested_at DESC NULLS LAST, collected_at DESC NULLS LAST) GROUP BY ALL")
+def p1_texts(spark, d):
+    """Texts of each slice, as the token totals have them."""
+    return tokens.slices(_counted(spark, d)).drop("tokens")
+
+
 @query("p6_found")
 def p6_found(spark, d):
     return syntax.found(table(spark, d, "parsed_files"))

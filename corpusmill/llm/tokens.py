@@ -3,7 +3,8 @@
 ``token_counts``: exact counts per text, then totals per slice. A text longer than ``chunk_chars`` is cut
 only where the tokenizer's split pattern proves a border that no pre-token spans and that no look-ahead
 crosses: before white space that follows other text, and between a letter and a digit. Such chunks are
-spread over workers and their exact counts summed. A text with no such place stays whole.
+spread over workers and their exact counts summed. A text with no such place stays whole. Source, language
+and domain travel with the counts, so that each table is read once.
 
 ``token_ids``: ids by the tokenizers library over Arrow batches; ``token_spans`` adds the character range
 of each id, ``decode_ids`` reverses the byte table.
@@ -21,10 +22,12 @@ import re
 from functools import lru_cache
 from itertools import chain
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
+from corpusmill.llm.common import deliveries
 
 CHUNK_CHARS = 65_536
 
@@ -80,7 +83,9 @@ def count_one(text: str | None, path: str) -> int:
         return 0
     try:
         return len(_counter(path).encode_ordinary(text))
-    except Exception:  # the counter's regex engine has a step limit; the other library has none
+    except ValueError as e:  # the counter's regex engine has a step limit; the other library has none
+        if "stack" not in str(e).lower() and "limit" not in str(e).lower() and "regex" not in str(e).lower():
+            raise
         return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
 
 
@@ -104,50 +109,57 @@ def cut_text(text: str, chunk_chars: int = CHUNK_CHARS) -> list[str]:
     return chunks
 
 
-def token_counts(df: DataFrame, key: str, text: str, path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(row_id, tokens): one row per distinct key. Only oversized texts are shuffled, in chunks."""
-    path = path or vocabulary()
+def _latest(df: DataFrame, key: str, text: str, about: dict[str, F.Column], path: str | None, chunk_chars: int) -> DataFrame:
+    """(row_id, about.., tokens): one scan of the texts, exact counts, the latest delivery of each key.
 
-    def counts(keys, texts):
-        return [keys, [count_one(t, path) for t in texts]]
+    A text of usual size is counted where it is read; an oversized one leaves as chunks, which are spread over
+    the workers by (key, chunk) and counted there. What is shuffled is a narrow row a text, and those chunks.
+    Chunks of one delivery are summed by themselves, so that deliveries with different texts never mix.
+    """
+    path = path or vocabulary()
 
-    def pieces(keys, texts):
-        out: list[list] = [[], [], []]
-        for k, t in zip(keys, texts):
-            for i, chunk in enumerate(cut_text(t, chunk_chars)):
-                out[0].append(k)
-                out[1].append(i)
-                out[2].append(chunk)
+    def first(keys, times, texts, *others):
+        out: list[list] = [[] for _ in range(6 + len(others))]
+        for row in zip(keys, times, texts, *others):
+            k, d, t, *o = row
+            chunks = cut_text(t, chunk_chars) if t is not None and len(t) > chunk_chars else None
+            known = count_one(t, path) if chunks is None else None
+            mark = None if chunks is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+            for i, chunk in enumerate(chunks or [None]):
+                for c, v in zip(out, (k, d, mark, i, known, chunk, *o)):
+                    c.append(v)
         return out
 
-    def chunk_counts(keys, numbers, texts):
-        return [keys, numbers, [count_one(t, path) for t in texts]]
+    def second(keys, times, marks, numbers, known, chunks, *others):
+        counts = [n if c is None else count_one(c, path) for n, c in zip(known, chunks)]
+        return [keys, times, marks, numbers, counts, *others]
 
-    base = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    large = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    small_counts = map_columns(base.filter(~large), ["row_id", "text"], counts, "row_id bigint, tokens bigint", costly=True)
-    chunks = map_columns(base.filter(large), ["row_id", "text"], pieces, "row_id bigint, chunk int, text string")
-    spread = chunks.repartition(F.xxhash64("row_id", "chunk"))
-    large_counts = map_columns(spread, ["row_id", "chunk", "text"], chunk_counts, "row_id bigint, chunk int, tokens bigint")
-    per_chunk = large_counts.groupBy("row_id", "chunk").agg(F.max("tokens").alias("tokens"))
-    large_sums = per_chunk.groupBy("row_id").agg(F.sum("tokens").alias("tokens"))
-    return small_counts.unionByName(large_sums).groupBy("row_id").agg(F.max("tokens").alias("tokens"))
+    names = list(about)
+    base = deliveries(df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), *(c.cast("string").alias(n) for n, c in about.items()), *(c for c in ("ingested_at", "collected_at") if c in df.columns))).filter("row_id is not null")
+    kept = "row_id bigint, delivery struct<ingested_at:bigint,collected_at:bigint>, mark bigint, chunk int"
+    tail = "".join(f", {n} string" for n in names)
+    pieces = map_columns(base, ["row_id", "delivery", "text", *names], first, f"{kept}, known bigint, text string{tail}", costly=True)
+    spread = pieces.repartition(F.xxhash64("row_id", "chunk"))
+    counted_ = map_columns(spread, ["row_id", "delivery", "mark", "chunk", "known", "text", *names], second, f"{kept}, tokens bigint{tail}")
+    whole = counted_.groupBy("row_id", "delivery", "mark", "chunk", *names).agg(F.max("tokens").alias("tokens")).groupBy("row_id", "delivery", "mark", *names).agg(F.sum("tokens").alias("tokens"))
+    best = whole.groupBy("row_id").agg(F.max(F.struct("delivery", "tokens", *names)).alias("x"))
+    return best.select("row_id", *(F.col("x")[n].alias(n) for n in names), F.col("x")["tokens"].alias("tokens"))
+
+
+def token_counts(df: DataFrame, key: str, text: str, path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(row_id, tokens): one row per distinct key."""
+    return _latest(df, key, text, {}, path, chunk_chars)
 
 
 def _language(column: str) -> F.Column:
     return F.nullif(F.lower(F.trim(F.col(column))), F.lit(""))
 
 
-def counted(documents: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
+def counted(documents: DataFrame, files: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(tbl, row_id, source, language, domain, tokens) of every text of both tables; a file delivered twice counts once."""
-
-    def one(df, tbl, key, text, source, language, domain):
-        about = df.groupBy(F.col(key).alias("row_id")).agg(F.min(source).alias("source"), F.min(_language(language)).alias("language"), F.min(domain).alias("domain"))
-        return token_counts(df, key, text, path).join(about, "row_id").select(F.lit(tbl).alias("tbl"), "row_id", "source", "language", "domain", "tokens")
-
-    docs = one(documents, "documents", "doc_id", "text", F.col("source"), "lang", F.col("domain"))
-    code = one(files, "parsed_files", "file_id", "content", F.col("repo"), "language", F.lit(None).cast("string"))
-    return docs.unionByName(code)
+    docs = _latest(documents, "doc_id", "text", {"source": F.col("source"), "language": _language("lang"), "domain": F.col("domain")}, path, chunk_chars)
+    code = _latest(files, "file_id", "content", {"source": F.col("repo"), "language": _language("language"), "domain": F.lit(None)}, path, chunk_chars)
+    return docs.withColumn("tbl", F.lit("documents")).unionByName(code.withColumn("tbl", F.lit("parsed_files"))).select("tbl", "row_id", "source", "language", "domain", "tokens")
 
 
 def slices(count: DataFrame) -> DataFrame:
@@ -172,12 +184,17 @@ def against_summaries(count: DataFrame, summaries: DataFrame) -> DataFrame:
 #: Where a text may be cut so that the ids of its pieces are the ids of the text: before white space that
 #: follows other text. Only some of these places are used, those after marks that end a phrase or line.
 _PIECE = re.compile(r"(?<=[.!?:;,|\]\)}>])(?=\s)|(?<=[^\s])(?=\n)")
-_PIECES = 100_000
+#: Bound of the memo in characters; longer pieces than the other bound are not remembered.
+_MEMO_CHARS, _MEMO_PIECE = 4_000_000, 1_000
+
+
+class _Memo(dict):
+    chars = 0
 
 
 @lru_cache(maxsize=4)
-def _memo(path: str) -> dict[str, list[int]]:
-    return {}
+def _memo(path: str) -> _Memo:
+    return _Memo()
 
 
 def _encode(texts: list[str | None], path: str, step: int = 256) -> list[list[int]]:
@@ -186,13 +203,21 @@ def _encode(texts: list[str | None], path: str, step: int = 256) -> list[list[in
     out: list[list[int]] = []
     for at in range(0, len(texts), step):
         cut = [_PIECE.split(x) if x else [] for x in texts[at : at + step]]
-        new = list({p for pieces in cut for p in pieces if p not in memo})
-        if len(memo) + len(new) > _PIECES:
-            memo.clear()
-            new = list({p for pieces in cut for p in pieces})
+        here: dict[str, list[int]] = {}
+        for pieces in cut:
+            for p in pieces:
+                if p not in here:
+                    here[p] = memo.get(p)
+        new = [p for p, ids in here.items() if ids is None]
         for p, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = e.ids
-        out += [list(chain.from_iterable(map(memo.__getitem__, pieces))) for pieces in cut]
+            here[p] = e.ids
+            if len(p) <= _MEMO_PIECE:
+                if memo.chars > _MEMO_CHARS:
+                    memo.clear()
+                    memo.chars = 0
+                memo[p] = e.ids
+                memo.chars += len(p)
+        out += [list(chain.from_iterable(map(here.__getitem__, pieces))) for pieces in cut]
     return out
 
 
@@ -212,6 +237,18 @@ def decode_ids(ids: list[int], path: str, errors: str = "replace") -> str:
     return b"".join(table[i] for i in ids).decode("utf-8", errors)
 
 
+def decoded(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, h): the SHA-256 of what the ids of each document decode to."""
+    import hashlib
+
+    path = path or vocabulary()
+
+    def kernel(keys, texts):
+        return [keys, [hashlib.sha256(decode_ids(i, path).encode()).hexdigest() for i in _encode(texts, path)]]
+
+    return map_columns(documents, ["doc_id", "text"], kernel, "doc_id bigint, h string", costly=True)
+
+
 def id_spans(ids: list[int], text: str, path: str) -> tuple[list[int], list[int]]:
     """Character range of each id; ids that share a split character all cover it."""
     import numpy as np

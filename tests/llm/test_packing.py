@@ -42,7 +42,7 @@ def test_pack_keeps_every_token(spark):
     rows = [(i, int(x)) for i, x in enumerate(rng.integers(0, 90, 800))] + [(900, 64 * 3), (901, 64 * 2 + 5), (902, 0)]
     counts = spark.createDataFrame(rows, "doc_id long, tokens long")
     windows = spark.createDataFrame([(1, "a", 64), (2, "b", 16), (3, "c", 0), (4, "d", None), (1, "a", 64)], "window_id int, model_name string, capacity_tokens int")
-    packed = packing.pack(counts, windows, part_items=60, fan_in=3, max_loose=50).toPandas()
+    packed = packing.pack(counts, windows, part_items=60, fan_in=3).toPandas()
     assert set(packed.window_id) == {1, 2}
     for w, capacity in ((1, 64), (2, 16)):
         p = packed[packed.window_id == w]
@@ -59,3 +59,15 @@ def test_nothing_to_pack(spark):
     windows = spark.createDataFrame([(1, 8)], "window_id int, capacity_tokens int")
     assert packing.pack(counts, windows).count() == 0
     assert packing.pack(spark.createDataFrame([(1, 5)], "doc_id long, tokens long"), windows.limit(0)).count() == 0
+
+
+def test_partitions_are_certified_and_tasks_stay_small(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(x)) for i, x in enumerate(rng.integers(20, 60, 3000))]
+    counts = spark.createDataFrame(rows, "doc_id long, tokens long")
+    windows = spark.createDataFrame([(1, 100)], "window_id int, capacity_tokens int")
+    certs: list = []
+    packed = packing.pack(counts, windows, part_items=200, fan_in=4, certificates=certs)
+    assert packed.select("doc_id").distinct().count() == 3000 and len(certs) > 1
+    rounds = [c.collect() for c in certs]
+    assert all(r.bound <= r.used for rows in rounds for r in rows) and len(rounds[0]) >= 15 and len(rounds[-1]) < len(rounds[0])
