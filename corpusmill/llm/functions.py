@@ -204,6 +204,40 @@ def _python(tree: ast.Module, text: str) -> list[tuple]:
     return out
 
 
+_IMPORTED = {
+    "python": re.compile(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#]+)", re.M),
+    "javascript": re.compile(r"\bimport\s+(?:type\s+)?([\w$,{}\s*]+?)\s+from\s+['\"]([^'\"\n]+)['\"]"),
+    "java": re.compile(r"^[ \t]*import[ \t]+(?:static[ \t]+)?[\w.]*?(\w+)[ \t]*;", re.M),
+}
+
+
+def import_hints(language: str, text: str) -> dict[str, str]:
+    """Imported name -> stem of the file that it comes from."""
+    out: dict[str, str] = {}
+    if language == "python":
+        for m in _IMPORTED["python"].finditer(text):
+            stem = m[1].rpartition(".")[2]
+            for part in m[2].strip("()").split(","):
+                words = part.split()
+                if words and stem:
+                    out[words[-1]] = stem
+    elif language in ("javascript", "typescript"):
+        for m in _IMPORTED["javascript"].finditer(text):
+            stem = m[2].rpartition("/")[2].partition(".")[0]
+            for name in re.findall(r"[\w$]+", m[1]):
+                out[name] = stem
+    elif language == "java":
+        out = {m[1]: m[1] for m in _IMPORTED["java"].finditer(text)}
+    return out
+
+
+def stem_of(path: str | None) -> str:
+    """The name by which a file is imported: without ending, of a package's own file that of its folder."""
+    parts = (path or "").split("/")
+    stem = parts[-1].partition(".")[0]
+    return parts[-2] if stem in ("__init__", "index", "mod") and len(parts) > 1 else stem
+
+
 def _end_of(language: str, code: str, at: int) -> int:
     """Position after the body that opens after ``at`` (braces), or after the ``end`` of the same indent (Ruby)."""
     if language == "ruby":
@@ -233,16 +267,17 @@ def hierarchy(language: str, text: str, spans: list[tuple[int, int, str]] | None
     return [(name, code.count("\n", 0, at) + 1, supers) for at, name, supers, _ in classes_of(language, code) if supers]
 
 
-def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None, tree: ast.Module | None = None, bodyless: list[tuple] | None = None) -> list[tuple]:
+def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None, tree: ast.Module | None = None, bodyless: list[tuple] | None = None, overriding: bool = False) -> list[tuple]:
     """(name, kind, signature, start_line, doc, params, owner, supers, code) of the documented functions of a valid file.
 
-    ``bodyless`` receives (name, start_line, doc, params, owner) of documented interface and abstract methods.
+    ``bodyless`` receives (name, start_line, doc, params, owner) of documented interface and abstract methods;
+    ``overriding`` adds methods that say they override another and have no documentation (doc is None).
     """
     if language == "python":
         return _python(tree, text) if tree else []
-    if language not in _DOC_FORMS or not spans:
+    if language not in _DOC_FORMS or not (spans or overriding):
         return []
-    code = masked(text, spans)
+    code = masked(text, spans or [])
     starts: list[int] | None = None
     classes: list[tuple[int, str, tuple, str]] | None = None
     out = []
@@ -279,4 +314,20 @@ def extract(language: str, text: str, spans: list[tuple[int, int, str]] | None,
             continue
         head = text[at:end].strip() if language != "ruby" else text[at : text.find("\n", end) if "\n" in text[end:] else len(text)].strip()
         out.append((name, kind, " ".join(head.split()), bisect_right(starts, start), clean(text[a:b]), params, owner[1], owner[2], text[line : _end_of(language, code, end)]))
+    if overriding and language in ("java", "typescript"):
+        told = {(r[0], r[3]) for r in out}
+        starts = starts or [0, *(m.end() for m in re.finditer("\n", text))]
+        classes = classes if classes is not None else classes_of(language, code)
+        for m in re.finditer(r"@Override\b" if language == "java" else r"\boverride\b", code):
+            line = text.rfind("\n", 0, m.start()) + 1
+            at = _after_attributes(language, code, line)
+            h = header(language, code, at)
+            if not h or not h[0] > m.start():
+                continue
+            start, end, kind = h
+            name = re.compile(r"[\w$]+").match(text, start)[0]
+            owner = next((c for c in reversed(classes) if c[0] < start), (0, None, (), ""))
+            if owner[1] and owner[2] and (name, bisect_right(starts, start)) not in told:
+                told.add((name, bisect_right(starts, start)))
+                out.append((name, kind, " ".join(text[at:end].split()), bisect_right(starts, start), None, re.findall(NAME, code[start + len(name) : end]), owner[1], owner[2], text[line : _end_of(language, code, end)]))
     return out

@@ -1,16 +1,20 @@
 """Files that nobody wrote by hand for their repository: generated, minified, vendored, or data saved as code.
 
 Pass one trains an identifier model per language: character trigrams of the distinct names of every file,
-and how names are joined (camel, snake). Its size is bounded by the alphabet, not by the data. Pass two
-scores every file with the model: the cross-entropy of its names flags mangled ones, the diversity of its
-names without digits flags templates, a naming style foreign to the language or text shared with published
-packages flags vendored files. Exact checks follow: mangled files must be dense, templates repeat, copies
-share five-word shingles with one upstream file, data files hold next to no names. A banner of a generator
-is evidence by itself, as a generator may write natural names; only a comment that is a banner counts, not
-one that speaks of banners.
-
-Defined results: files with null or blank content or of other endings give no row; a file delivered twice
-counts once; binary content is corrupt and none of these; an empty list of upstream files matches nothing.
+and how names are joined (camel, snake). Its size is bounded by the alphabet, not by the data: 40 characters
+and three places make 64,000 trigrams a language. Pass two scores every file with the model. Three signals
+decide, each followed by an exact check:
+
+* the cross-entropy of the names flags mangled ones (the check: dense code of short names);
+* the diversity of the names, distinct stems to all names and literals, flags templates, locks and data (the
+  checks: functions alike but for digits, the fields of a lock, next to nothing but literals);
+* naming style foreign to the language is reported, but flags nothing, because copies of packages are named
+  as other files are (README has the figures): copies are found by the five-word shingles they share with an
+  upstream file, and a generator's banner counts by itself, as a generator may write natural names.
+
+Defined results: files with null or blank content or of other endings give no row; of a file delivered twice
+the latest delivery counts; binary content is corrupt and none of these; an empty list of upstream files
+matches nothing.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
 from corpusmill.llm import functions, lexers, syntax
+from corpusmill.llm.common import per_file
 
 NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 #: Words of the grammars are no names. Fixed values.
 KEYWORDS = frozenset("and as assert async await boolean break byte case catch char class const continue crate def default defer del do double elif else elsif end ensure enum except export extends extern false final finally float fmt fn for from func function global go goto if impl implements import in include inline instanceof int interface is lambda let long loop match mod module move mut namespace new nil none not null number or package pass pub public private protected raise range readonly require rescue return self short signed sizeof static str string struct super switch then this throw throws trait true try type typedef typeof undefined union unless unsafe unsigned until use usize var void volatile when where while with yield Self String None True False NULL size_t end nil".split())
-MAX_GRAMS = 1_000_000
 #: Bits a character by which mangled names exceed what their language's names cost on average; most blanks in dense code.
 SURPRISE, DENSE_SPACE = 1.5, 0.12
 CONTAINED, COVERED = 0.7, 0.4
+#: At most so many distinct stems to each name or literal: templates, locks and data repeat themselves.
+DIVERSITY = 0.5
+#: Characters of upstream texts that are indexed and broadcast at once; more are compared block by block.
+BLOCK_CHARS = 32_000_000
 
 
 def names_of(language: str, text: str, code: str) -> list[str]:
@@ -158,17 +166,18 @@ _BANNER = re.compile(
     r"|(?:этот\s+)?(?:файл|код)\s+(?:был\s+)?(?:создан|сгенерирован)\b.*(?:автоматически|программой)|本文件由.*自动生成|.*(?:自动生成|自動生成)(?:され|，|,|。|的))",
     re.I,
 )
-_HEAD_LINES, _FOOT_LINES = 20, 6
+#: What may stand before a file's first own line of code.
+_HEAD = re.compile(r"(?:\s+|(?:import|from|package|use|extern|require|require_relative|using|include|module|frozen_string_literal)\b[^\n(]*(?:\([^)]*\))?[^\n]*(?:\n|$)|\#\s*(?:include|pragma|ifndef|define)\b[^\n]*(?:\n|$)|\#![^\n]*|\"+;?|'+;?)*+")
 
 
 def banner(language: str, text: str, spans: list[tuple[int, int, str]]) -> bool:
-    """Whether a comment at the top or the end of a file says that a program wrote it."""
-    n = text.count("\n") + 1
+    """Whether a comment before a file's first own code, or after its last, says that a program wrote it."""
+    if not any(k in "#*" for *_, k in spans):
+        return False
+    code = functions.masked(text, spans)
+    head, foot = _HEAD.match(code).end(), len(code.rstrip())
     for a, b, k in spans:
-        if k not in "#*":
-            continue
-        line = text.count("\n", 0, a)
-        if line > _HEAD_LINES and line < n - _FOOT_LINES - text.count("\n", a, b):
+        if k not in "#*" or foot > a > head:
             continue
         for said in functions.clean(text[a:b]).split("\n"):
             if _BANNER.match(said):
@@ -203,33 +212,43 @@ def data_share(text: str, code: str, spans: list[tuple[int, int, str]]) -> tuple
 
 
 def judge(language: str, text: str, model: Model, upstream: dict[int, list[int]], sizes: dict[int, int]) -> tuple:
-    """(entropy, diversity, foreign style, upstream id, contained, verdict) of a file."""
+    """(entropy, diversity, foreign style, upstream id, contained, verdict, signal) of a file."""
     if _binary(text):
-        return 0.0, 1.0, 0.0, None, 0.0, None
+        return 0.0, 1.0, 0.0, None, 0.0, None, None
     code, spans = _code(language, text)
     all_names = names_of(language, text, code)
     names = set(all_names)
     entropy, style = model.entropy(language, names), model.foreign(language, names)
     stems = {_NUMBERED.sub("#", n) for n in names}
-    diversity = len(stems) / len(names) if names else 1.0
+    literals = len(_LITERALS.findall(code)) + sum(1 for *_, k in spans if k in "\"'/")
+    diversity = len(stems) / max(1, len(all_names) + literals)
     own = shingles(text)
     hits: Counter = Counter(k for s in own for k in upstream.get(s, ()))
     best, shared = hits.most_common(1)[0] if hits else (None, 0)
     contained = shared / len(own) if own else 0.0
-    verdict = None
+    verdict = signal = None
+    prose_like = language in ("json", "yaml")
     if best is not None and contained >= CONTAINED and shared >= COVERED * sizes[best]:
-        verdict = "vendored"
-    elif language not in ("json", "yaml") and model.mangled(language, entropy) and len(names) >= 8 and _dense(text, code, names):
-        verdict = "minified"
-    elif language == "json" and len(_LOCK.findall(text)) >= 3:
-        verdict = "generated"
-    elif language not in ("json", "yaml") and _data_only(text, code, spans, all_names):
-        verdict = "data"
-    elif diversity < 0.85 and (t := template(code))[0] >= 5 and t[1] >= 0.4:
-        verdict = "generated"
+        verdict, signal = "vendored", "shared text"
+    elif not prose_like and model.mangled(language, entropy) and _dense(text, code, names):
+        verdict, signal = "minified", "entropy"
+    elif diversity <= DIVERSITY and (said := _repeats(language, text, code, spans, all_names, names, stems)):
+        verdict, signal = said, "diversity"
     elif banner(language, text, spans):
-        verdict = "generated"
-    return entropy, diversity, style, best if contained >= CONTAINED else None, contained, verdict
+        verdict, signal = "generated", "banner"
+    return entropy, diversity, style, best if contained >= CONTAINED else None, contained, verdict, signal
+
+
+def _repeats(language: str, text: str, code: str, spans: list[tuple[int, int, str]], all_names: list[str], names: set[str], stems: set[str]) -> str | None:
+    """What a file of low diversity is: a lock, data, or functions from a template."""
+    if language in ("json", "yaml"):
+        if language == "json" and len(_LOCK.findall(text)) >= 3:
+            return "generated"
+    elif _data_only(text, code, spans, all_names):
+        return "data"
+    if names and len(stems) < 0.85 * len(names) and (t := template(code))[0] >= 5 and t[1] >= 0.4:
+        return "generated"
+    return None
 
 
 def _dense(text: str, code: str, names: set[str]) -> bool:
@@ -247,40 +266,69 @@ def _data_only(text: str, code: str, spans: list[tuple[int, int, str]], names: l
     return len(names) <= 12 + literals // 50 and (literals >= 60 or longest >= 600)
 
 
-def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, max_upstream: int = 10_000) -> DataFrame:
-    """(file_id, repo, language, entropy, diversity, foreign, upstream_id, contained, verdict), one row per distinct file.
+_SCORES = "repo string, language string, entropy double, diversity double, foreign double, upstream_id int, contained double, verdict string, signal string"
 
-    The reference list is small and fixed; more than ``max_upstream`` rows are refused rather than broadcast.
-    """
-    if model is None:
-        rows = train(files).limit(MAX_GRAMS + 1).collect()
-        if len(rows) > MAX_GRAMS:
-            raise ValueError("identifier model is larger than its alphabet allows")
-        model = Model([tuple(r) for r in rows])
-    listed = upstream.select("upstream_id", "content").filter("content is not null").limit(max_upstream + 1).collect()
-    if len(listed) > max_upstream:
-        raise ValueError(f"more than {max_upstream} upstream files")
+
+def _index(rows) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """Shingle -> upstream files, and the number of shingles of each."""
     index: dict[int, list[int]] = {}
     sizes: dict[int, int] = {}
-    for r in listed:
+    for r in rows:
         own = shingles(syntax.plain(r.content))
         sizes[r.upstream_id] = len(own)
-        for s in own:
-            index.setdefault(s, []).append(r.upstream_id)
-    shared = files.sparkSession.sparkContext.broadcast((model, index, sizes))
+        for x in own:
+            index.setdefault(x, []).append(r.upstream_id)
+    return index, sizes
 
-    def kernel(ids, repos, paths, contents):
-        m, up, n = shared.value
+
+def blocks(upstream: DataFrame, block_chars: int = BLOCK_CHARS):
+    """The upstream list in blocks of bounded size; how many is known before anything is collected."""
+    listed = upstream.select("upstream_id", "content").filter("content is not null")
+    total = listed.agg(F.sum(F.length("content"))).first()[0] or 0
+    n = -(-total // block_chars) or 1
+    for k in range(n):
+        yield _index((listed.filter(F.pmod(F.xxhash64("upstream_id"), F.lit(n)) == k) if n > 1 else listed).collect())
+
+
+def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(file_id, repo, language, entropy, diversity, foreign, upstream_id, contained, verdict, signal), one row per distinct file."""
+    if model is None:
+        model = Model([tuple(r) for r in train(files).collect()])
+    context = files.sparkSession.sparkContext
+    first, *others = [context.broadcast(x) for x in blocks(upstream, block_chars)]
+    trained = context.broadcast(model)
+
+    def kernel(repos, paths, contents):
+        m, (up, n) = trained.value, first.value
         out: list[list] = [[] for _ in range(9)]
-        for i, repo, path, content in zip(ids, repos, paths, contents):
+        for repo, path, content in zip(repos, paths, contents):
             language = lexers.language_of(path)
-            if language is None or content is None or not (text := syntax.plain(content)).strip():
-                continue
-            for c, v in zip(out, (i, repo, language, *judge(language, text, m, up, n))):
+            told = language is not None and content is not None and bool((text := syntax.plain(content)).strip())
+            row = (repo, language, *judge(language, text, m, up, n)) if told else (None,) * 9
+            for c, v in zip(out, row):
                 c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, entropy double, diversity double, foreign double, upstream_id int, contained double, verdict string", costly=True).dropDuplicates(["file_id"])
+    done = per_file(files, ["repo", "file_path", "content"], kernel, _SCORES).filter("language is not null")
+    for other in others:  # more upstream texts than one block holds: each further block is one more pass
+
+        def copied(paths, contents, other=other):
+            up, n = other.value
+            out: list[list] = [[], [], []]
+            for path, content in zip(paths, contents):
+                own = shingles(syntax.plain(content)) if content and lexers.language_of(path) and not _binary(content) else set()
+                hits: Counter = Counter(k for s in own for k in up.get(s, ()))
+                best, shared = hits.most_common(1)[0] if hits else (None, 0)
+                c = shared / len(own) if own else 0.0
+                for o, v in zip(out, (best if c >= CONTAINED else None, c, best is not None and c >= CONTAINED and shared >= COVERED * n[best])):
+                    o.append(v)
+            return out
+
+        more = per_file(files, ["file_path", "content"], copied, "more_id int, more double, copy boolean").filter("more > 0")
+        both = done.join(more, "file_id", "left")
+        better = F.coalesce(F.col("more") > F.col("contained"), F.lit(False))
+        done = both.withColumns({"upstream_id": F.when(better, F.col("more_id")).otherwise(F.col("upstream_id")), "contained": F.when(better, F.col("more")).otherwise(F.col("contained")), "verdict": F.when(F.coalesce("copy", F.lit(False)), "vendored").otherwise(F.col("verdict")), "signal": F.when(F.coalesce("copy", F.lit(False)), "shared text").otherwise(F.col("signal"))}).drop("more_id", "more", "copy")
+    return done
 
 
 def found(files: DataFrame, upstream: DataFrame) -> DataFrame:

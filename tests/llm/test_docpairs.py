@@ -55,6 +55,18 @@ def test_inherited_through_bare_classes_and_interfaces(spark, files):
     assert got == {(1, "m", False): REAL, (1, "m", True): REAL, (4, "m", True): REAL} and all(r.kind != "class" and r.code for r in rows)
 
 
+def test_overriding_methods_and_imported_parents(spark, files):
+    face = f"public class Face {{\n  /** {REAL} */\n  public int m(int a) {{ return 2; }}\n}}\n"
+    kid = "public class Kid extends Face {\n  @Override\n  public int m(int a) { return 1; }\n}\n"
+    one = 'class Base:\n    def m(self):\n        """Writes nothing at all to the other table but its name."""\n'
+    two = f'class Base:\n    def m(self):\n        """{REAL}"""\n'
+    low = "from pack.two import Base\nclass Low(Base):\n    def m(self):\n        return 1\n"
+    rows = docpairs.pairs(files((1, "Face.java", face), (2, "Kid.java", kid), (3, "pack/one.py", one), (4, "pack/two.py", two), (5, "low.py", low))).collect()
+    got = {(r.file_id, r.name, r.inherited): r.description for r in rows}
+    assert got[2, "m", True] == REAL and got[5, "m", True] == REAL and len(got) == 5
+    assert sorted(r.file_id for r in docpairs.documented(files((1, "Face.java", face), (2, "Kid.java", kid))).collect()) == [1]
+
+
 def test_whole_signature(spark, files):
     text = "def f(\n" + "".join(f"    a{i},\n" for i in range(40)) + f'):\n    """{REAL}"""\n'
     assert docpairs.pairs(files((1, "a.py", text))).first().signature.endswith("a39, ):")

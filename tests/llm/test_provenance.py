@@ -24,6 +24,20 @@ def test_verdicts(spark, files):
     assert got == {20: "minified", 21: "generated", 22: "data", 23: "vendored", 24: "generated", 25: "generated", 31: "generated"}
     assert sorted(r.file_id for r in provenance.found(files(*rows), upstream.limit(0)).collect()) == [20, 21, 22, 24, 25, 31]
     assert provenance.found(files((1, "a.py", "")).limit(0), upstream).count() == 0
+    signals = {r.file_id: r.signal for r in provenance.scored(files(*rows), upstream).collect() if r.verdict}
+    assert signals == {20: "entropy", 21: "diversity", 22: "diversity", 23: "shared text", 24: "banner", 25: "diversity", 31: "banner"}
+    long = spark.createDataFrame([(k, f"other text of a package number {k} with words {k}", "x") for k in range(3, 40)] + [(1, PACKAGE, "x")], "upstream_id int, content string, repo string")
+    small = {r.file_id: (r.verdict, r.upstream_id) for r in provenance.scored(files(*rows), long, block_chars=500).collect() if r.verdict}
+    assert small[23] == ("vendored", 1) and set(small) == set(got)
+
+
+def test_banner_after_a_long_head_but_not_inside():
+    from corpusmill.llm import lexers
+
+    text = "".join(f"# licence line {i}\n" for i in range(40)) + "import os\n# Code generated by tool. DO NOT EDIT.\ndef f():\n    pass\n"
+    assert provenance.banner("python", text, lexers.scan("python", text).spans)
+    inside = "import os\n" + "def f():\n    pass\n" * 30 + "    # DO NOT EDIT\n" + "x = 1\n" * 30
+    assert not provenance.banner("python", inside, lexers.scan("python", inside).spans)
 
 
 def test_entropy_separates_mangled_names():
