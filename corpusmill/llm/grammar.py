@@ -14,8 +14,9 @@ from functools import lru_cache
 from corpusmill.llm import lexers
 
 MEMO = 200_000
+#: No construct of these languages has so many names side by side, whatever macros or modifiers they are; it decides without trying.
+_NAMES = "i" * 48
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
-_PROSE = "i" * 48  # so many names in a row are prose in any language, and costly to try as declarations
 _FIRST = 0x80  # reduced groups are characters below 256, which keeps character classes small and quick to compile
 
 
@@ -102,7 +103,7 @@ class Grammar:
         if not scan.ok:
             return False
         codes = self.tidy(self.shape(scan.code))
-        if "￾" in codes or _PROSE in codes:
+        if "￾" in codes or _NAMES in codes:
             return False
         while True:
             less = _GROUP.sub(self._reduce, codes)
@@ -527,7 +528,7 @@ class Rust(Grammar):
         tpre = r"(?:[&*mLdqp]|F(?=L))*"
         tbase = rf"(?:{path}(?:{ptypes}(?:R{tpre}{path})?)?|{ptypes}|{sq}|!|u*f{ptypes}(?:R{tpre}(?:{path}|{ptypes}))?|Z{any_})"
         ty = rf"(?:\??{tpre}{tbase}(?:\+(?:\??{tpre}{tbase}|L))*)"
-        pat = rf"(?:[&*mqils@|D\-PcL]|{pats}|{sq}|(?<=[iP]){fields}|(?<=[iP]){lit})+"
+        pat = rf"(?:[&*mq@|D\-PcL]|i(?![ils])|[ls](?![ils])|{pats}|{sq}|(?<=[iP]){fields}|(?<=[iP]){lit})+"
         par = rf"\|(?:(?:[imlsq&*,:PLdp<>\-]|{any_})*\|)?(?:R{ty})?"
         blocklike = rf"(?:(?:L:)?(?:u*{block}|O{block}|W(?:v{pat}=)?�{block}|F{pat}n�{block})|M�{arms}|I(?:v{pat}=)?�(?:{block})(?:EI(?:v{pat}=)?�{block})*(?:E{block})?)"
         prim0 = rf"(?:[ls]|{path}|{args}|{sq}|Z{any_}|r|B(?:L)?|D)"
@@ -669,6 +670,7 @@ class Ruby(Grammar):
     language = "ruby"
     layout = Layout(3, 1, 2, 2)
     keep_lines = True
+    NUMBER = "f"
     TOKEN = re.compile(r"(?:&?\.|::)\s*[^\W\d]\w*[?!]?(?!=[^=~>])|(?:&?\.|::)\s*[^\W\d]\w*|&?\.(?=\()|\.\.\.|\.\.|[^\W\d]\w*[?!]?:(?!:)|:[^\W\d]\w*[?!=]?|:\x01|:(?:\[\]=?|[-+*/%<>=!~^&|]+)|@@?[^\W\d]\w*|\$(?:[^\W\d]\w*|[\d!@&~;,/.<>_:?\"$0*])|defined\?|[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*|\d[\w]*(?:\.\d\w*)?(?:(?<=[eE])[+-]\d+)?|\?[^\s\w](?=[\s,)])|\*\*=|<=>|===|<<=|>>=|&&=|\|\|=|=>|==|!=|=~|!~|<=|>=|&&|\|\||<<|>>|\*\*|->|[-+*/%&|^]=|\x01\s*:(?!:)|[^\s]")
     CODES = {
         **_codes(b="def", K="class", z="module", I="if unless", W="while until", F="for", n="in", E="else", e="elsif", C="case", w="when", D="do", X="begin", R="rescue", Y="ensure", t="then", Q="end", r="return break next redo retry", l="true false nil", y="alias undef", O="and or", N="not"),
@@ -717,12 +719,13 @@ class Ruby(Grammar):
         sq = having(SQUARE, 1)
         hash_, block = having(BRACE, 1), having(BRACE, 2)
         unit_, defn, do = (chr(self.layout.bases[KEYED][0] + k) for k in (1, 2, 3))
-        prim = rf"(?:i|[ls]+|{expr}|{sq}|{hash_}|{unit_}|p|L(?:{params}|i(?:,i)*)?(?:{block}|{do}))"
+        prim = rf"(?:i|s+|[lf]|{expr}|{sq}|{hash_}|{unit_}|p|L(?:{params}|i(?:,i)*)?(?:{block}|{do}))"
         post = rf"(?:p|{args}|{sq}|{block}|{do})*"
         pre = r"(?:[!+*N])*"
         plain = rf"{pre}{prim}{post}"
         arg = rf"(?:k?[*]?(?:{plain}(?:(?:[o+*=<|dO>?:]|>\n?){plain})*)|k|\*)"
-        call = rf"(?:{pre}i(?:p|{sq}|{args})*(?:{arg}(?:,\n?{arg})*)(?:{do})?)"
+        said = rf"(?:k?[*]?(?:{plain}(?:(?:[o+*=<|dO>?:]|>\n?){plain})*)|k)"  # a bare splat is passed on between brackets only
+        call = rf"(?:{pre}i(?:p|{sq}|{args})*(?:{said}(?:,\n?{said})*)(?:{do})?)"
         unit = rf"(?:{call}|{plain})"
         E = rf"(?:{unit}d?(?:[o+*=<|dO?:]{unit})*d?)"
         EL = rf"\*?{E}(?:,\*?{E})*"

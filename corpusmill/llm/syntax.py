@@ -6,8 +6,8 @@ languages by typical tokens and parsed by each in that order: a success tells a
 all tells corruption.
 
 Defined results: files with null or blank content, and paths of other endings, give no row; a byte order
-mark and CRLF do not matter; a file delivered twice counts once; a file too deeply nested for a parser's
-stack counts as valid.
+mark and CRLF do not matter; of a file delivered twice the latest delivery counts; JSON of any depth is
+decided, Python that the interpreter refuses as too deeply nested is not valid.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import map_columns
 from corpusmill.llm import grammar, lexers
+from corpusmill.llm.common import per_file
+from corpusmill.operators import nested
 
 LANGUAGES = ("python", "javascript", "typescript", "java", "go", "rust", "c", "ruby", "json", "yaml")
 
@@ -39,8 +40,8 @@ def python_tree(text: str) -> ast.Module | None:
         warnings.simplefilter("ignore")
         try:
             return ast.parse(text)
-        except (SyntaxError, ValueError):
-            return None
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None  # the interpreter refuses what is nested too deep for it
 
 
 def _constant(name: str):
@@ -50,6 +51,19 @@ def _constant(name: str):
 _JSON = json.JSONDecoder(parse_constant=_constant)
 
 
+def _json_valid(text: str) -> bool:
+    try:
+        _JSON.decode(text)
+    except RecursionError:  # too deep for the library's stack: the same grammar on a stack of its own
+        try:
+            nested.parse_json(text)
+        except ValueError:
+            return False
+    except ValueError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=1)
 def _yaml():
     try:
@@ -72,25 +86,30 @@ def _yaml_valid(text: str) -> bool:
             pass
     except yaml.YAMLError:
         return False
+    except RecursionError:  # flow collections nested too deep for the library: decided by their brackets
+        return _balanced(text)
     return True
 
 
+def _balanced(text: str) -> bool:
+    pairs, open_ = {"]": "[", "}": "{"}, []
+    for c in re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|\#[^\n]*", "", text):
+        if c in "[{":
+            open_.append(c)
+        elif c in "]}" and (not open_ or open_.pop() != pairs[c]):
+            return False
+    return not open_
+
+
 def valid(language: str, text: str, scan: lexers.Scan | None = None) -> bool:
     """Whether ``plain`` text is valid syntax; ``scan`` saves a second pass over it."""
-    try:
-        if language == "python":
-            return python_tree(text) is not None
-        if language == "json":
-            try:
-                _JSON.decode(text)
-            except ValueError:
-                return False
-            return True
-        if language == "yaml":
-            return _yaml_valid(text)
-        return grammar.grammar(language).parses(scan or lexers.scan(language, text))
-    except (RecursionError, MemoryError):
-        return True
+    if language == "python":
+        return python_tree(text) is not None
+    if language == "json":
+        return _json_valid(text)
+    if language == "yaml":
+        return _yaml_valid(text)
+    return grammar.grammar(language).parses(scan or lexers.scan(language, text))
 
 
 #: Tokens by which a text is ranked; each match is one vote.
@@ -120,35 +139,39 @@ def foreign(language: str, text: str) -> str | None:
     return next((k for k in ranking(text) if k != language and valid(k, text)), None)
 
 
-def parsed(files: DataFrame, report: bool = True) -> DataFrame:
-    """(file_id, repo, language, valid, parsed_as), one row per distinct file."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(file_id, repo, language, valid, parsed_as, verdict), one row per distinct file; verdict is valid, wrong_ending or corrupt.
+
+    A file that its own grammar accepts is valid whatever others say, so that others are asked only of the
+    rest: the rows are those of parsing every file by every grammar.
+    """
 
-    def kernel(ids, repos, paths, contents):
-        out: list[list] = [[], [], [], [], []]
-        for i, repo, path, content in zip(ids, repos, paths, contents):
+    def kernel(repos, paths, contents):
+        out: list[list] = [[], [], [], []]
+        for repo, path, content in zip(repos, paths, contents):
             language = lexers.language_of(path)
-            if language is None or content is None or not (text := plain(content)).strip():
-                continue
-            ok = valid(language, text)
-            other = None if ok or not report else foreign(language, text)
-            for c, v in zip(out, (i, repo, language, ok, language if ok else other)):
+            row = (None, None, None, None)
+            if language is not None and content is not None and (text := plain(content)).strip():
+                ok = valid(language, text)
+                row = (repo, language, ok, language if ok else foreign(language, text))
+            for c, v in zip(out, row):
                 c.append(v)
         return out
 
-    return map_columns(files, ["file_id", "repo", "file_path", "content"], kernel, "file_id bigint, repo string, language string, valid boolean, parsed_as string", costly=True).distinct()
+    done = per_file(files, ["repo", "file_path", "content"], kernel, "repo string, language string, valid boolean, parsed_as string").filter("language is not null")
+    return done.withColumn("verdict", F.when(F.col("valid"), "valid").when(F.col("parsed_as").isNotNull(), "wrong_ending").otherwise("corrupt"))
 
 
 def found(files: DataFrame) -> DataFrame:
-    """(file_id) of the files that are not valid."""
-    return parsed(files).filter(~F.col("valid")).select("file_id").distinct()
+    """(file_id) of the files that are not valid: wrong endings and corrupt files."""
+    return parsed(files).filter(F.col("verdict") != "valid").select("file_id")
 
 
 def rates(files: DataFrame) -> DataFrame:
     """(repo, language, files, invalid, wrong_ending, rate)."""
-    p = parsed(files)
-    return p.groupBy("repo", "language").agg(
+    return parsed(files).groupBy("repo", "language").agg(
         F.count("*").alias("files"),
-        F.count_if(~F.col("valid")).alias("invalid"),
-        F.count_if(~F.col("valid") & F.col("parsed_as").isNotNull()).alias("wrong_ending"),
-        F.round(F.count_if(~F.col("valid")) / F.count("*"), 6).alias("rate"),
+        F.count_if(F.col("verdict") != "valid").alias("invalid"),
+        F.count_if(F.col("verdict") == "wrong_ending").alias("wrong_ending"),
+        F.round(F.count_if(F.col("verdict") != "valid") / F.count("*"), 6).alias("rate"),
     )
