@@ -5,8 +5,8 @@ whole. Sentences are found by shape and their language by one Aho-Corasick pass
 candidate sentences: function words of all spaced languages between word borders, votes weighed by inverse
 language frequency; script ranges settle Russian, Chinese and Japanese.
 
-Defined results: files with null or blank content, of other endings or with invalid syntax give no rows; a
-file delivered twice counts once; a tie goes to the language that comes first in ``prose.LANGUAGES``.
+Defined results: files with null or blank content, of other endings or with invalid syntax give no rows; of a
+file delivered twice the latest delivery counts; a sentence of another language than the eight gives none; a tie goes to the language that comes first in ``prose.LANGUAGES``.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import map_columns
 from corpusmill.llm import functions, lexers, prose, syntax
+from corpusmill.llm.common import per_file
 
 _PREFIX = re.compile(r"^[A-Za-z]{0,2}(\"\"\"|'''|\"|'|`)")
 _ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4,6})\}?|([nrt])|(.))", re.S)
@@ -74,21 +74,20 @@ def file_sentences(path: str | None, content: str | None) -> tuple[list[tuple[st
 def shares(files: DataFrame) -> DataFrame:
     """(file_id, nl_lang, sentences, chars, share): what each language takes of each file's characters."""
 
-    def kernel(ids, paths, contents):
-        out: list[list] = [[], [], [], [], []]
-        for i, path, content in zip(ids, paths, contents):
+    def kernel(paths, contents):
+        out = []
+        for path, content in zip(paths, contents):
             said, n = file_sentences(path, content)
             total: dict[str, list[int]] = {}
             for language, chars in said:
                 t = total.setdefault(language, [0, 0])
                 t[0] += 1
                 t[1] += chars
-            for language, (count, chars) in total.items():
-                for c, v in zip(out, (i, language, count, chars, round(min(1.0, chars / n), 6))):
-                    c.append(v)
-        return out
+            out.append([(language, count, chars, round(min(1.0, chars / n), 6)) for language, (count, chars) in sorted(total.items())])
+        return [out]
 
-    return map_columns(files, ["file_id", "file_path", "content"], kernel, "file_id bigint, nl_lang string, sentences int, chars bigint, share double", costly=True).dropDuplicates(["file_id", "nl_lang"])
+    each = per_file(files, ["file_path", "content"], kernel, "said array<struct<nl_lang:string,sentences:int,chars:bigint,share:double>>")
+    return each.select("file_id", F.explode("said").alias("s")).select("file_id", "s.*")
 
 
 def found(files: DataFrame) -> DataFrame:

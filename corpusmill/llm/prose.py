@@ -8,11 +8,18 @@ from functools import lru_cache
 
 #: Function words by language. Fixed values.
 FUNCTION_WORDS = {
-    "en": "a about after all also an and any are as at be because been before being both but by can cannot could did do does down each even every first for from had has have how if in into is it its keep kept left long may more must never no not of off on once one only or other our out over rest same should so some still such than that the their them then there these they this those through to too twice under until up upon us use used very was we what when where whether which while who why will with without would you your",
-    "de": "aber alle allem allen als also am an auch auf aus bei beim bereits bevor bis bitte da dabei dafür damit danach dann darf das dass dem den denn der des deshalb die dies diese diesem diesen dieser dieses doch dort durch ein eine einem einen einer eines einmal er es falls fehlt für gegen gibt hat haben hier ich ihm ihn ihr ihre im immer in ins ist ja jede jedem jeden jeder jedes jedoch jetzt kann kein keine keinen könnte man mehr mit muss müssen nach neu nicht nichts noch nun nur ob oder ohne schon sehr sein seine selbst sich sie sind so sobald sofern sollte solange sondern über um und uns unter vom von vor war warum was weder weil weiter welche wenn wer werden weshalb wie wieder wird wo wurde wurden zu zum zur zwischen",
-    "fr": "afin ainsi alors après attention au aucun aucune aussi autre aux avant avec avoir bien car ce ceci cela celle celui ces cet cette chaque comme contre dans de depuis des dès deux doit donc dont du elle elles en encore entre est et était été être faut fois font ici il ils jamais je jusqu la le les leur leurs lorsque lui mais même mieux moins ne ni non nous on ont ou où par parce pas peu peut peuvent plus plusieurs pour pourquoi pourrait puis quand que quel quelle qui quoi rien sa sans se selon sera ses si soit son sont sous suite sur tant tous tout toute toutes très trop un une vaut vers vous à",
-    "es": "a al algo alguna alguno antes aquí así aunque bien cada casi como con contra cual cuando cuanto cuenta de debe del desde después donde dos durante e el ella ellos en entonces entre era es esa ese eso esta está estaba estado están este esto estos fue ha haber había hace hasta hay la las le les lo los luego mal más mejor menos mi mientras mismo mucho muy nada ni ningún ninguna no nos o otra otro para parece pero poco por porque primero puede pueden pues que qué quien se sea según ser si sido siempre sin sobre solo son su sus también tan tanto todavía todo todos tras tu un una uno usted vez y ya",
-    "pt": "a agora ainda além ali antes ao aos apenas aqui as assim até bem cada com como contra cuidado da das de dela dele depois desde deve do dos e é ela ele eles em enquanto entre era essa esse esta está estão estava este estiver eu foi foram for há isso isto já lhe lo logo mais mas melhor menos mesmo muito na não nada nas nem nenhum nenhuma no nos nós nossa o onde os ou outra outro para pela pelas pelo pelos pode podem porque por pois porém pouco qual quando que quem se seja sem sempre ser seu seus sim só sob sobre sua suas são também tão tem tinha toda todas todo todos tudo um uma vai você vez vezes à às",
+    "en": "a about after all also an and any are as at be because been before being both but by can cannot could did do does down each even every first for from had has have how if in into is it its long may more must never no not of off on once one only or other our out over same should so some still such than that the their them then there these they this those through to too under until up upon us use used very was we what when where whether which while who why will with without would you your",
+    "de": "aber alle allem allen als also am an auch auf aus bei beim bereits bevor bis bitte da dabei dafür damit danach dann darf das dass dem den denn der des deshalb die dies diese diesem diesen dieser dieses doch dort durch ein eine einem einen einer eines einmal er es falls für gegen gibt hat haben hier ich ihm ihn ihr ihre im immer in ins ist ja jede jedem jeden jeder jedes jedoch jetzt kann kein keine keinen könnte man mehr mit muss müssen nach nicht nichts noch nun nur ob oder ohne schon sehr sein seine selbst sich sie sind so sobald sofern sollte solange sondern über um und uns unter vom von vor war warum was weder weil weiter welche wenn wer werden weshalb wie wieder wird wo wurde wurden zu zum zur zwischen",
+    "fr": "afin ainsi alors après au aucun aucune aussi autre aux avant avec avoir bien car ce ceci cela celle celui ces cet cette chaque comme contre dans de depuis des dès deux doit donc dont du elle elles en encore entre est et était été être faut fois font ici il ils jamais je jusqu la le les leur leurs lorsque lui mais même mieux moins ne ni non nous on ont ou où par parce pas peu peut peuvent plus plusieurs pour pourquoi pourrait puis quand que quel quelle qui quoi rien sa sans se selon sera ses si soit son sont sous suite sur tant tous tout toute toutes très trop un une vaut vers vous à",
+    "es": "a al algo alguna alguno antes aquí así aunque bien cada casi como con contra cual cuando cuanto de debe del desde después donde dos durante e el ella ellos en entonces entre era es esa ese eso esta está estaba estado están este esto estos fue ha haber había hace hasta hay la las le les lo los luego mal más mejor menos mi mientras mismo mucho muy nada ni ningún ninguna no nos o otra otro para parece pero poco por porque primero puede pueden pues que qué quien se sea según ser si sido siempre sin sobre solo son su sus también tan tanto todavía todo todos tras tu un una uno usted vez y ya",
+    "pt": "a agora ainda além ali antes ao aos apenas aqui as assim até bem cada com como contra da das de dela dele depois desde deve do dos e é ela ele eles em enquanto entre era essa esse esta está estão estava este estiver eu foi foram for há isso isto já lhe lo logo mais mas melhor menos mesmo muito na não nada nas nem nenhum nenhuma no nos nós nossa o onde os ou outra outro para pela pelas pelo pelos pode podem porque por pois porém pouco qual quando que quem se seja sem sempre ser seu seus sim só sob sobre sua suas são também tão tem tinha toda todas todo todos tudo um uma vai você vez vezes à às",
+}
+#: Function words of languages that are not asked for: what speaks one of them is none of the others. Fixed values.
+OTHERS = {
+    "it": "a al alla anche ancora che chi ci come con cosa da dal dalla degli dei del della delle dello di dopo dove e è ed fra già gli ha hanno i il in io la le lei lo loro lui ma mentre mi molto ne nel nella nelle nello non nostro o ogni per perché più poi prima può quale quando quello questa questi questo se senza si sia sono sopra sotto sua sul sulla suo tra tutti tutto un una uno",
+    "nl": "aan al alle als bij daar dan dat de den deze die dit door een en er geen had heb hebben heeft het hier hij hoe hun ik in is je kan maar meer met mijn na naar niet nog nu of om omdat ook op over te toch toen tot uit van veel voor waar was wat werd wie wij wordt zal ze zich zijn zo zonder",
+    "sv": "alla att av bara bli den det dig din du där efter eller en ett från för genom ha hade han har hon hur här i inte jag kan kunde man med men mig min mot mycket ni nu någon när och om oss på sedan sig sin ska som så till under upp ut utan var vara vi vid är över",
+    "pl": "a ale bardzo bez być czy dla do gdy gdzie go i ich ile ja jak jako je jego jej jest jeszcze już każdy która które który lub ma mnie może na nad nie niż o od on ona oni pod po przed przez przy są się tak tam te tego tej ten to tu tylko w we więc wszystko z za ze że",
 }
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 MIN_WORDS, MIN_UNSPACED = 5, 10
@@ -34,6 +41,9 @@ _FLAG = re.compile(r"(?:^|\s)--?[A-Za-z][\w-]*|\s[./~][\w./-]+|\s\|\s|\s&&\s|\w=
 _PATHLIKE = re.compile(r"\S*[/\\]\S+[/\\]\S*|\w+://\S+|\S+\.\w{1,5}(?=[\s,;:]|$)|`[^`]*`|\S*_\S*|\S*\d\S*[^\W\d]\S*|[^\s\d]*[^\W\d]\S*\d\S*|\S{25,}|\b[a-z]+[A-Z]\w*")
 
 
+RANK = {x: i for i, x in enumerate((*LANGUAGES, *OTHERS))}
+
+
 @lru_cache(maxsize=1)
 def weights() -> dict[str, list[tuple[str, float]]]:
     """word -> (language, vote): the rarer a word is among languages, the more it says."""
@@ -42,7 +52,12 @@ def weights() -> dict[str, list[tuple[str, float]]]:
         for w in words.split():
             of.setdefault(w, []).append(language)
     n = len(FUNCTION_WORDS)
-    return {w: [(x, math.log(1 + n / len(ls)) - (0.6 if len(ls) > 2 else 0.0)) for x in ls] for w, ls in of.items()}
+    out = {w: [(x, math.log(1 + n / len(ls)) - (0.6 if len(ls) > 2 else 0.0)) for x in ls] for w, ls in of.items()}
+    for language, words in OTHERS.items():
+        for w in words.split():
+            shared = len(of.get(w, ())) + sum(w in ws.split() for ws in OTHERS.values())
+            out.setdefault(w, []).append((language, math.log(1 + n / shared)))
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -117,8 +132,8 @@ def spoken(pieces: list[str]) -> list[str | None]:
                 v[language] = v.get(language, 0.0) + w
         for (i, letters), v in zip(latin, votes):
             if v:
-                best = max(v, key=lambda x: (v[x], -LANGUAGES.index(x)))
-                if v[best] >= 1.0:
+                best = max(v, key=lambda x: (v[x], -RANK[x]))
+                if v[best] >= 1.0 and best in FUNCTION_WORDS:
                     out[i] = best
     return out
 

@@ -59,7 +59,7 @@ def prose_words(text: str | None) -> tuple[str, list[str]] | None:
             votes[language] = votes.get(language, 0.0) + weight
     if not votes:
         return None
-    best = max(votes, key=lambda k: (votes[k], -prose.LANGUAGES.index(k)))
+    best = max(votes, key=lambda k: (votes[k], -prose.RANK[k]))
     return (best, words) if best in LANGUAGES else None
 
 

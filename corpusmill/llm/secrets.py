@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import map_columns
+from corpusmill.llm.common import per_file
 
 _BACKTICK = r"`(?:[^`\\]|\\[\s\S])*+`"
 _LITERAL = re.compile(
@@ -61,8 +61,11 @@ _BEFORE = re.compile(r"([A-Za-z_\u00c0-\u024f][\w\u00c0-\u024f.-]*)\\?[\"'\]]*[
 _PASSED = re.compile(r"(?:^|[\W_])(?:connect|login|log_in|logon|bind|auth|authenticate|signin|sign_in|set_?password|set_?token|with_?(?:token|password|api_?key))\s*\((?:[^()\n]*?,)?\s*$", re.I)
 _PASSED_NAME = re.compile(r"\b(?:connect|login|log_in|logon|bind|auth|authenticate|signin|sign_in)\s*\(\s*$", re.I)
 _PLACEHOLDER = re.compile(
-    r"(?i)(?<![a-z0-9])(?:your|my|example|sample|placeholder|change.?(?:me|it|this)|replace|dummy|fake|foo(?:bar)?|todo|fixme|insert|redacted|removed|hidden|masked|censored|none|null|nil|undefined|unset|not.?set|set.?this|put|goes|here|docs|demo|test(?:ing)?|mock|default|secret.?key|n/?a|tbd|to.?be|enter|fill|xxx+|\.\.\.)(?![a-z0-9])|EXAMPLE|CHANGEME|x{6,}"
+    r"(?i)(?<![a-z0-9])(?:your|example|sample|placeholder|change.?(?:me|it|this)|replace|dummy|fake|foo(?:bar)?|todo|fixme|insert|redacted|removed|hidden|masked|censored|none|null|nil|undefined|unset|not.?set|set.?this|goes|here|n/?a|tbd|to.?be|enter|fill|xxx+|\.\.\.)(?![a-z0-9])|EXAMPLE|CHANGEME|x{6,}"
 )
+#: Words that make a stand-in only of values that hold nothing else but words.
+_WEAK = re.compile(r"(?i)(?<![a-z0-9])(?:my|put|docs|demo|test(?:ing)?|mock|default|secret.?key)(?![a-z0-9])")
+_RANDOM = re.compile(r"(?=[A-Za-z0-9+/]*\d)(?=[A-Za-z0-9+/]*[A-Za-z])[A-Za-z0-9+/]{6,}|[^\W\d_]*[!#$%^&*?][\w!#$%^&*?]{3,}")
 _REFERENCE = re.compile(r"^\s*(?:\$\{?\w|\{\{|\{%|<[^>]*>$|%\(|%\{|%[sdv]$|\{\w*\}|#\{|@\w+@|env[.:(]|ENV\[|os\.|process\.|vault:|secret://|arn:|ref:|file:|data:|ssh-|sha\d+-|sha\d+:|/|\./|~/|https?://)", re.I)
 _MASKED = re.compile(r"\*{3,}|•{3,}|x{8,}|\.{3,}|^(.)\1*$|…")
 _PLAIN = re.compile(r"^[A-Za-z]?[a-z]*(?:[ _./:\-][a-z]*)*$|^[A-Z]+(?:_[A-Z]+)*$|^\d+(?:\.\d+)*$|^[a-z]+(?:[A-Z][a-z]+)*$|^[a-z]+\[\w*\]$")
@@ -75,6 +78,7 @@ _LABEL = re.compile(
     r"\b(?:password|passwort|passwd|pwd|pw|kennwort|contraseña|contrasena|clave|senha|mot de passe|mdp|пароль|passphrase|token|secret|(?:api|old|access|signing|secret|deploy|new|master|private)[ _-]?key|login|credentials?|auth)\b[\"']?\s*(?:is|ist|es|est|was|=>|:=|=|:)\s*[\"'`]?([^\s\"'`]{8,})",
     re.I,
 )
+_JOINER = re.compile(r"[:=]|\s(?:is|ist|es|est|was)\b", re.I)
 _LABEL_UNSPACED = re.compile(r"(?:密码|密碼|パスワード|口令|令牌)\s*(?:是|は|[:：=])\s*([!-~]{8,})")
 _YAML_PLAIN = re.compile(r"^[ \t]*(?:-[ \t]+)?([\w.-]+):[ \t]+([^\s\"'#&*!|>%@`{\[][^\s#]{7,})[ \t]*(?:#.*)?\r?$", re.M)
 _JOINED = re.compile(r"\s*(?:[+.,&]|\|\||\\)?\s*\Z")
@@ -88,7 +92,9 @@ def credential_name(name: str) -> bool:
 
 def stands_in(value: str) -> bool:
     """Whether a value only stands for a secret: placeholder, reference, mask, pattern or plain words."""
-    return bool(_REFERENCE.search(value) or _MASKED.search(value) or _PLACEHOLDER.search(value) or _PATTERN.search(value) or _PLAIN.match(value))
+    if _REFERENCE.search(value) or _MASKED.search(value) or _PLACEHOLDER.search(value) or _PATTERN.search(value) or _PLAIN.match(value):
+        return True
+    return bool(_WEAK.search(value)) and not _RANDOM.search(_WEAK.sub(" ", value))
 
 
 def _classes(value: str) -> tuple[bool, bool, bool, bool]:
@@ -109,6 +115,24 @@ def password_shape(value: str) -> bool:
     return changes >= 4 and sum(map(len, words)) <= 0.67 * len(value)
 
 
+#: Names whose value is a password even if it is one long word or a number, and the words that then make a stand-in of it.
+_PASSWORD_NAME = re.compile(r"(?:^|_)(?:pass(?:wd|word|phrase|code)?|passwor?t|kennwort|pwd|contrase(?:na|ña)|senha)$")
+_STANDS = re.compile(r"pass|word|secret|change|your|example|sample|dummy|fake|test|admin|user|enter|token|login|default|none|empty|required|string|value|placeholder|hidden|kennwort|senha|contrase|geheim|motdepasse", re.I)
+
+
+#: A pass phrase of plain words.
+_PHRASE_WORDS = re.compile(r"^[^\W\d_]{3,}(?: [^\W\d_]{3,}){2,7}$")
+
+
+def _password_word(name: str, value: str) -> bool:
+    """Whether a value that is one long word, or only digits, is the password of a password-named place."""
+    if not _PASSWORD_NAME.search(_CAMEL.sub("_", name.rpartition(".")[2]).lower()):
+        return False
+    if value.isdigit():
+        return len(value) >= 8 and len(set(value)) > 2
+    return value.isalpha() and (value.islower() or not value.isascii()) and len(value) >= (14 if value.isascii() else 8) and not _STANDS.search(value)
+
+
 def _named_secret(value: str) -> bool:
     """Whether a value given to a credential name is a secret."""
     if len(value) < 6 or " " in value or "\n" in value or not value.isprintable() or stands_in(value):
@@ -171,6 +195,14 @@ def _literals(text: str, go: bool) -> Iterator[re.Match]:
         yield m
 
 
+def _before(text: str, a: int, most: int = 120) -> str:
+    """What stands before a place, from a name to it: any number of blanks counts as one."""
+    end = a
+    while end and text[end - 1] in " \t\r\n":
+        end -= 1
+    return text[max(0, end - most) : end] + text[max(end, a - 1) : a]
+
+
 def find(text: str, yaml: bool = False, context: bool = False, go: bool = False) -> list[tuple[int, int]]:
     """(start, end) of every secret value of a text, in order, without overlaps."""
     found = _pem(text, context)
@@ -184,7 +216,7 @@ def find(text: str, yaml: bool = False, context: bool = False, go: bool = False)
         if hi - lo < 6:
             continue
         value = text[lo:hi]
-        if not _LIKELY.search(value):
+        if not _LIKELY.search(value) and (hi - lo < 8 or not (value.isalpha() or " " in value)):
             continue
         last_end, last_secret = joined_to
         if last_end >= 0 and a - last_end < 40 and _JOINED.match(text[last_end:a]) and text[last_end:a].strip() != "," or (last_end >= 0 and last_secret and a - last_end < 4 and "concat!" in text[max(0, last_end - 80) : last_end]):
@@ -198,20 +230,22 @@ def find(text: str, yaml: bool = False, context: bool = False, go: bool = False)
             joined_to = (b, False)
             continue
         secret = False
-        if " " not in value and "\n" not in value and hi - lo <= 200 and value.isascii():
-            before = text[max(0, a - 120) : a]
+        if not any(c.isspace() for c in value):
+            before = _before(text, a)
             n = _BEFORE.search(before)
             name = n[1] if n else ""
             if context and not before.strip():  # the name was cut off
                 secret = bool(_PHRASE.match(value)) or (_named_secret(value) and not _DIGEST.match(value))
             elif name and credential_name(name):
-                secret = _named_secret(value) or bool(_PHRASE.match(value))
+                secret = _named_secret(value) or bool(_PHRASE.match(value)) or _password_word(name, value)
             elif (p := _PASSED.search(before)) and not _PASSED_NAME.search(before):
                 secret = _named_secret(value) or bool(_PHRASE.match(value))
             elif not (name and _NOT_CREDENTIAL.search(_CAMEL.sub("_", name).lower())) and n and not n[0].rstrip().endswith(","):
                 secret = password_shape(value) and not stands_in(value)
             if not secret and (h := _HOOK.match(value)) and sum(_classes(h[1])[:3]) == 3 and not stands_in(h[1]):
                 found.append((lo + h.start(1), lo + h.end(1)))
+        elif _PHRASE_WORDS.match(value) and not _STANDS.search(value) and (n := _BEFORE.search(_before(text, a))) and "passphrase" in n[1].lower() and credential_name(n[1]):
+            secret = True
         if secret:
             found.append((lo, hi))
         joined_to = (b, secret)
@@ -221,7 +255,7 @@ def find(text: str, yaml: bool = False, context: bool = False, go: bool = False)
         k = bisect_right(starts, at) - 1
         return k >= 0 and at < quotes[k][1]
 
-    for m in (x for c in _COMMENT.finditer(text) if ":" in c[0] or "=" in c[0] or " is" in c[0] or " es" in c[0] for x in _LABEL.finditer(text, *c.span())):
+    for m in (x for c in _COMMENT.finditer(text) if _JOINER.search(c[0]) for x in _LABEL.finditer(text, *c.span())):
         v = m[1].rstrip(".,;)*/")
         if _PHRASE.match(v) or (_named_secret(v) and (password_shape(v) or sum(_classes(v)[:3]) == 3 or re.match(r"^[0-9a-f-]{24,}$", v) or sum(_classes(v)) >= 3)):
             found.append((m.start(1), m.start(1) + len(v)))
@@ -264,41 +298,33 @@ def lines_of(text: str, spans: list[tuple]) -> list[int]:
     return sorted({text.count("\n", 0, s[0]) + 1 for s in spans if len(s) == 2})
 
 
-def _inputs(files: DataFrame, issues: DataFrame) -> DataFrame:
-    a = files.select(F.lit("parsed_files").alias("tbl"), F.col("file_id").alias("row_id"), F.col("file_path").alias("path"), F.col("content").alias("text"))
-    b = issues.select(F.lit("security_issues").alias("tbl"), F.col("issue_id").alias("row_id"), F.col("file_path").alias("path"), F.col("context").alias("text"))
-    return a.unionByName(b)
-
-
 def _spans(tbl: str, path: str | None, text: str | None) -> list[tuple]:
     if not text or not text.strip():
         return []
     return find(text, (path or "").endswith((".yml", ".yaml")), tbl == "security_issues", (path or "").endswith(".go"))
 
 
+def _tables(files: DataFrame, issues: DataFrame, kernel, schema: str) -> DataFrame:
+    """What the kernel gives for each text of both tables, with tbl and row_id; the latest delivery of a file, one row of repeated findings."""
+    a = per_file(files, ["file_path", "content"], lambda paths, texts: kernel("parsed_files", paths, texts), schema)
+    b = per_file(issues, ["file_path", "context"], lambda paths, texts: kernel("security_issues", paths, texts), schema, key="issue_id")
+    return a.withColumn("tbl", F.lit("parsed_files")).unionByName(b.withColumn("tbl", F.lit("security_issues"))).withColumnRenamed("file_id", "row_id")
+
+
 def found(files: DataFrame, issues: DataFrame) -> DataFrame:
     """(tbl, row_id, line_no) of each line on which a secret begins."""
 
-    def kernel(tbls, ids, paths, texts):
-        out: list[list] = [[], [], []]
-        for tbl, i, path, text in zip(tbls, ids, paths, texts):
-            for line in lines_of(text, s) if (s := _spans(tbl, path, text)) else ():
-                for c, v in zip(out, (tbl, i, line)):
-                    c.append(v)
-        return out
+    def kernel(tbl, paths, texts):
+        return [[lines_of(t, s) if (s := _spans(tbl, p, t)) else [] for p, t in zip(paths, texts)]]
 
-    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, line_no int", costly=True).distinct()
+    return _tables(files, issues, kernel, "lines array<int>").select("tbl", "row_id", F.explode("lines").alias("line_no"))
 
 
 def redacted(files: DataFrame, issues: DataFrame) -> DataFrame:
     """(tbl, row_id, secrets, text): the texts that held secrets, redacted."""
 
-    def kernel(tbls, ids, paths, texts):
-        out: list[list] = [[], [], [], []]
-        for tbl, i, path, text in zip(tbls, ids, paths, texts):
-            if s := _spans(tbl, path, text):
-                for c, v in zip(out, (tbl, i, sum(1 for x in s if len(x) == 2), redact(text, s))):
-                    c.append(v)
-        return out
+    def kernel(tbl, paths, texts):
+        spans = [_spans(tbl, p, t) for p, t in zip(paths, texts)]
+        return [[sum(1 for x in s if len(x) == 2) for s in spans], [redact(t, s) if s else None for s, t in zip(spans, texts)]]
 
-    return map_columns(_inputs(files, issues), ["tbl", "row_id", "path", "text"], kernel, "tbl string, row_id bigint, secrets int, text string", costly=True).dropDuplicates(["tbl", "row_id"])
+    return _tables(files, issues, kernel, "secrets int, text string").filter("text is not null").select("tbl", "row_id", "secrets", "text")

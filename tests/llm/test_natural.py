@@ -33,3 +33,8 @@ def test_operator(spark, files):
     got = {(r.file_id, r.nl_lang) for r in natural.found(df).collect()}
     assert got == {(1, "en"), (1, "de"), (2, "fr"), (2, "ru"), (3, "zh"), (4, "es"), (4, "pt"), (9, "en")}
     assert all(0 < r.share <= 1 for r in natural.shares(df).collect()) and natural.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Questo file non deve essere cambiato perché la lista viene letta ogni volta.", "Dit bestand mag niet worden gewijzigd omdat het nog door de lijst wordt gebruikt.", "Den här filen får inte ändras eftersom den fortfarande används av listan.", "Tego pliku nie można zmieniać, ponieważ jest on nadal używany przez listę."])
+def test_other_languages_are_none(text):
+    assert prose.spoken([text]) == [None]

@@ -63,3 +63,26 @@ def test_operator(spark):
     clean = {(r.tbl, r.row_id): r.text for r in secrets.redacted(files, issues).collect()}
     assert clean["parsed_files", 1] == 'password = "' + "*" * 16 + '"\n' and len(clean) == 4
     assert secrets.found(files.limit(0), issues.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line,value",
+    [
+        ('password = "correcthorsebattery"', "correcthorsebattery"),
+        ('db_password = "48120057"', "48120057"),
+        ('password = "größeÜber7mut"', "größeÜber7mut"),
+        ('token = "' + "aB3x" * 60 + '"', "aB3x" * 60),
+        ('api_token =' + " " * 130 + '"Zk8qpL2vNw4T"', "Zk8qpL2vNw4T"),
+        ('secret = "Zk8-test-qpL2vNw4"', "Zk8-test-qpL2vNw4"),
+        ('vault_passphrase = "orchid mellow tundra kite"', "orchid mellow tundra kite"),
+        ("# the old password was Zk8!qpL2vN3", "Zk8!qpL2vN3"),
+    ],
+)
+def test_values_of_any_length_and_alphabet(line, value):
+    (span,) = secrets.find(line)
+    assert line[span[0] : span[1]] == value
+
+
+@pytest.mark.parametrize("line", ['password = "yourpasswordhere"', 'password = "changemeplease"', 'password = "11111111"', 'password_label = "correcthorsebattery"', 'passphrase_hint = "the name of your dog"', 'token = "my-test-token"', 'kind = "correcthorsebattery"'])
+def test_stand_ins(line):
+    assert secrets.find(line) == []
