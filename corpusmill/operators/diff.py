@@ -62,12 +62,41 @@ def stats(changed: DataFrame) -> DataFrame:
     return changed.agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count_if("binary").alias("binary"), *(F.count_if(F.col("change") == k).alias(k) for k in ("added", "deleted", "modified", "renamed")))
 
 
+def unified(old: str | None, new: str | None, path: str, context: int = 3) -> str:
+    """A unified diff of two texts, of which one may be missing and has no lines then; common ends are set aside first, so that only what differs is compared."""
+    import difflib
+
+    a, b = (x.split("\n") if x is not None else [] for x in (old, new))
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    same = [("equal", 0, head, 0, head)] if head else []
+    codes = [(k, i1 + head, i2 + head, j1 + head, j2 + head) for k, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], False).get_opcodes()]
+    end = [("equal", len(a) - tail, len(a), len(b) - tail, len(b))] if tail else []
+    out: list[str] = []
+    m = difflib.SequenceMatcher(None, [], [], False)
+    m.opcodes = [*same, *codes, *end]  # grouped with their context by the library
+    for group in m.get_grouped_opcodes(context):
+        if not out:
+            out += [f"--- a/{path}", f"+++ b/{path}"]
+        spans = [(group[0][k], group[-1][k + 1]) for k in (1, 3)]
+        shown = [f"{x + (y > x)}" if y - x == 1 else f"{x + (y > x)},{y - x}" for x, y in spans]
+        out.append(f"@@ -{shown[0]} +{shown[1]} @@")
+        for kind, i1, i2, j1, j2 in group:
+            if kind == "equal":
+                out += [" " + x for x in a[i1:i2]]
+            else:
+                out += ["-" + x for x in a[i1:i2]] + ["+" + x for x in b[j1:j2]]
+    return "\n".join(out)
+
+
 def _diff(context: int):
     @F.pandas_udf("string")
     def run(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-        import difflib
-
-        return pd.Series(["\n".join(difflib.unified_diff((a or "").split("\n"), (c or "").split("\n"), f"a/{p}", f"b/{p}", lineterm="", n=context)) for p, a, c in zip(path, old, new)], dtype=object)
+        return pd.Series([unified(a, c, p, context) for p, a, c in zip(path, old, new)], dtype=object)
 
     return run
 

@@ -105,7 +105,7 @@ def language_by_content(content: Column | str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
     out = F.lit(None).cast("string")
     for language, sign in reversed(CONTENT_SIGNS):
-        out = F.when(c.rlike(sign), language).otherwise(out)
+        out = F.when(c.rlike("(?d)" + sign), language).otherwise(out)
     return out
 
 
@@ -114,14 +114,19 @@ def determined_language(path: Column | str, content: Column | str, custom: dict[
     return F.coalesce(language_by_extension(path, custom), language_by_content(content), F.lit("unknown"))
 
 
+def delivered(rows: DataFrame) -> DataFrame:
+    """``rows`` with delivery, the times by which ``once`` finds the latest; null where there are none."""
+    times = [(F.unix_micros(F.col(c).cast("timestamp")) if c in rows.columns else F.lit(None).cast("bigint")).alias(c) for c in ("ingested_at", "collected_at")]
+    return rows.withColumn("delivery", F.struct(*times))
+
+
 def files(deliveries: DataFrame) -> DataFrame:
     """(file_id, repo, path, content, delivery) of every delivery; ``once`` leaves one a file.
 
     Contents are never shuffled to find repeated deliveries: each operator derives its narrow result first,
     and that is reduced to the latest delivery of each file.
     """
-    times = [(F.unix_micros(F.col(c).cast("timestamp")) if c in deliveries.columns else F.lit(None).cast("bigint")).alias(c) for c in ("ingested_at", "collected_at")]
-    return deliveries.select("file_id", "repo", F.concat_ws("/", "repo", "file_path").alias("path"), "content", F.struct(*times).alias("delivery"))
+    return delivered(deliveries).select("file_id", "repo", F.concat_ws("/", "repo", "file_path").alias("path"), "content", "delivery")
 
 
 def once(df: DataFrame, *columns: Column | str) -> DataFrame:

@@ -343,8 +343,8 @@ def _planned(df: DataFrame, roots: tuple[Root, ...], plan: Plan | None) -> Plan:
 
 def _deliveries(df: DataFrame, key: str) -> DataFrame:
     """``df`` with the key as file_id and, where its times are known, the delivery."""
-    times = [(F.unix_micros(F.col(c).cast("timestamp")) if c in df.columns else F.lit(None).cast("bigint")).alias(c) for c in ("ingested_at", "collected_at")]
-    return df.select(F.col(key).cast("bigint").alias("file_id"), F.struct(*times).alias("delivery"), *(c for c in df.columns if c not in (key, "file_id", "delivery"))).filter("file_id is not null")
+    given = df.select(F.col(key).cast("bigint").alias("file_id"), *(c for c in df.columns if c not in (key, "file_id", "delivery"))).filter("file_id is not null")
+    return K.delivered(given)
 
 
 def shred(df: DataFrame, key: str, roots: tuple[Root, ...] = ROOTS, plan: Plan | None = None) -> DataFrame:

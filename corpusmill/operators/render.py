@@ -357,6 +357,16 @@ def safe_path(path: str) -> str | None:
     return p
 
 
+def safe_paths(path: Column | str) -> Column:
+    """``safe_path`` as a column."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        return pd.Series([safe_path(p) if p is not None else None for p in paths], dtype=object)
+
+    return run(path)
+
+
 def reconstruct(documents: DataFrame, kind: str, column: str = "document") -> DataFrame:
     """(path, content, safe) of every file in rendered documents; unsafe paths are kept and marked."""
     read = READERS[kind]

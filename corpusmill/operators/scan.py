@@ -174,21 +174,21 @@ def unwanted_finding(found: Column | str, patterns) -> Column:
 REMOVED = "[REDACTED: POTENTIALLY DANGEROUS CONTENT]"
 
 
-def redacted(content: Column | str) -> Column:
+def redacted(content: Column | str, removed: str = REMOVED) -> Column:
     """Dangerous content removed; of a secret only the value is, its name and mark stay."""
     c = F.col(content) if isinstance(content, str) else content
     for name, regex in R.DANGEROUS.items():
         if name == "secrets_pattern":
             c = F.regexp_replace(c, regex.replace(r"\s*[:=]\s*", r"(\s*[:=])\s*"), '$1$2 "[REDACTED]"')
         else:
-            c = F.regexp_replace(c, regex, REMOVED)
+            c = F.regexp_replace(c, "(?d)" + regex, removed)
     return c
 
 
 def dangerous(files: DataFrame) -> DataFrame:
     """One flag for each family of dangerous content."""
     c = F.coalesce("content", F.lit(""))
-    return K.once(files, *(c.rlike(p).alias(name) for name, p in R.DANGEROUS.items()))
+    return K.once(files, *(c.rlike("(?d)" + p).alias(name) for name, p in R.DANGEROUS.items()))
 
 
 def report(found: DataFrame) -> DataFrame:

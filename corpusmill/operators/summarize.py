@@ -24,12 +24,7 @@ def due(files: DataFrame, cached: DataFrame | None = None, least_lines: int = 20
     return (out.join(cached, "file_id", "left_anti") if cached is not None else out).select("file_id")
 
 
-def first_lines(prompt: str) -> str:
-    """A stand-in model that needs no network: the first line that says something."""
-    return next((x.strip() for x in prompt.split("\n") if x.strip()), "")[:200]
-
-
-def summaries(files: DataFrame, model: Callable[[str], str] = first_lines, concurrency: int = 5, tries: int = 3, pause: float = 1.0) -> DataFrame:
+def summaries(files: DataFrame, model: Callable[[str], str], concurrency: int = 5, tries: int = 3, pause: float = 1.0) -> DataFrame:
     """(file_id, summary, error): a model that fails is asked again, then the error is kept."""
 
     def ask(text: str) -> tuple[str | None, str | None]:
@@ -57,3 +52,59 @@ def truncated(text, tokens: int, chars_per_token: float = 4.0):
     head = F.substring(text, 1, most)
     last = most - F.locate("\n", F.reverse(head)) + 1
     return F.when(F.length(text) <= most, text).when((F.locate("\n", F.reverse(head)) > 0) & (last >= most * 0.9), F.substring(head, F.lit(1), last - 1)).otherwise(head)
+
+
+def bodies(files: DataFrame, decls: DataFrame, n: int = 3, least: int = 3) -> DataFrame:
+    """(file_id, name, start_line, end_line, code): the lines of the longest functions of each file, for summaries of their own."""
+    from corpusmill.operators import parse
+
+    spans = parse.longest(decls, n, least).groupBy("file_id").agg(F.collect_list(F.struct("name", "start_line", "end_line")).alias("spans"))
+    cut = F.transform("spans", lambda s: F.struct(s["name"].alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), F.array_join(F.slice(T.lines("content"), s["start_line"], s["end_line"] - s["start_line"] + 1), "\n").alias("code")))
+    return K.once(files.join(spans, "file_id"), cut.alias("cut")).select("file_id", F.explode("cut").alias("c")).select("file_id", "c.*")
+
+
+def overview(said: DataFrame, tree: DataFrame, model: Callable[[str], str], most_chars: int = 200_000) -> str:
+    """One text about a whole project from its summaries (path, summary) and its drawn tree (node, line): both in order of path, as much as a prompt holds."""
+    from corpusmill.functions import describe
+
+    def read(df: DataFrame, key: str, line) -> str:
+        out, size = [], 0
+        for r in df.select(key, line.alias("_line")).orderBy(key).toLocalIterator():
+            size += len(r["_line"] or "") + 1
+            if size > most_chars:
+                break
+            out.append(r["_line"] or "")
+        return "\n".join(out)
+
+    text = describe.PROMPTS["overview"].replace("{TREE}", read(tree, "node", F.col("line"))).replace("{SUMMARIES}", read(said, "path", F.concat_ws(": ", "path", "summary")))
+    return model(text)
+
+
+def fresh(cached: DataFrame, now, ttl_seconds: int = 3600, time: str = "created_at") -> DataFrame:
+    """Rows of a cache that are not older than their time to live."""
+    return cached.filter(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp")) <= ttl_seconds)
+
+
+def latest(summaries_: DataFrame) -> DataFrame:
+    """(file_id, summary): the newest summary of each file that has no error; of equally new ones the one with the highest id."""
+    ok = summaries_.filter("error is null and file_id is not null and summary is not null")
+    return ok.groupBy("file_id").agg(F.max_by("summary", F.struct(F.col("created_at").cast("timestamp"), "summary_id")).alias("summary"))
+
+
+def write(said: DataFrame, path: str) -> None:
+    """Summaries as JSON lines in folders by the first characters of the hash of their file's id, so that one is found without a scan."""
+    said.withColumn("key", F.substring(F.sha2(F.col("file_id").cast("string"), 256), 1, 2)).repartition("key").write.mode("append").partitionBy("key").json(path)
+
+
+#: Models by name: what a caller registers is found by it.
+PROVIDERS: dict[str, Callable[[str], str]] = {}
+
+
+def provider(name: str):
+    """Registers a model under a name."""
+
+    def put(f: Callable[[str], str]) -> Callable[[str], str]:
+        PROVIDERS[name] = f
+        return f
+
+    return put

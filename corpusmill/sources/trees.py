@@ -4,29 +4,59 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import files as K
 from corpusmill.operators.render import safe_path
 
 MAX_BYTES = 20 * 1024 * 1024
 
 
-def read_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES, repo: str = "") -> DataFrame:
-    """(file_id, repo, path, content) of the text files below a directory; invalid UTF-8 is replaced.
+def read_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES, repo: str = "", prune: bool = False, includes: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, repo, path, content) of the text files below a directory, or of one file; invalid UTF-8 is replaced.
 
-    The size test reaches the source, so that large files are listed but never read.
+    The size test reaches the source, so that large files are listed but never read (``left_out`` has them);
+    what a walk would prune is left out by path before contents are decoded.
     """
+    listed = listing(spark, root, glob)
+    df = listed.filter(F.col("length") <= max_bytes)
+    if prune:
+        df = df.filter(~K.pruned_directory("name"))
+    if includes:
+        df = df.filter(K.matches_any("name", includes))
+    return df.filter(~binary("content")).select(F.xxhash64("path").alias("file_id"), F.lit(repo).alias("repo"), F.col("name").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Every file below a directory with its name relative to it; a file as root keeps its own name."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
     base = root.rstrip("/") + "/"
-    df = r.load(root).filter(F.col("length") <= max_bytes)
-    path = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(base.lstrip("/")), "")
-    return df.filter(~binary("content")).select(F.xxhash64("path").alias("file_id"), F.lit(repo).alias("repo"), path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    inside = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(base.lstrip("/")), "")
+    return r.load(root).withColumn("name", F.when(inside == F.col("path"), F.regexp_extract("path", r"([^/]*)$", 1)).otherwise(inside))
+
+
+def left_out(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, bytes, reason) of the files that ``read_tree`` does not give: too_large or binary."""
+    every = listing(spark, root, glob)
+    large = every.filter(F.col("length") > max_bytes).select(F.col("name").alias("path"), F.col("length").alias("bytes"), F.lit("too_large").alias("reason"))
+    blank = every.filter(F.col("length") <= max_bytes).filter(binary("content")).select(F.col("name").alias("path"), F.col("length").alias("bytes"), F.lit("binary").alias("reason"))
+    return large.unionByName(blank)
+
+
+def documents(files: DataFrame, endings: tuple[str, ...] = T.DOC_ENDINGS) -> DataFrame:
+    """(file_id, repo, path, doc_type, content) of the documentation files: the other branch of a scan, which code filters drop."""
+    return files.filter(T.ends_with_any(F.lower("path"), endings)).select("file_id", "repo", "path", F.lower(T.extension("path")).alias("doc_type"), "content")
+
+
+#: Globs that are always ignored. Fixed values.
+ALWAYS_IGNORED = ("**/__pycache__/**", "**/*.pyc", "**/.git/**", "**/node_modules/**", "**/.pytest_cache/**", "**/.coverage", "**/build/**", "**/dist/**", "**/*.egg-info/**")
 
 
 def binary(content: Column | str, sample: int = 4096, share: float = 0.3) -> Column:
@@ -60,20 +90,18 @@ def ignore_rules(text: str) -> list[tuple[str, bool]]:
 
 
 def ignored(path: Column | str, text: str) -> Column:
+    """Whether an ignore file, or what is always ignored, covers a path; the last rule that matches decides."""
     p = F.col(path) if isinstance(path, str) else path
     out = F.lit(False)
-    for regex, keep in ignore_rules(text):
+    for regex, keep in [*ignore_rules(text), *((T.glob_regex(g), False) for g in ALWAYS_IGNORED)]:
         out = F.when(p.rlike(regex), F.lit(not keep)).otherwise(out)
     return out
 
 
-def unzip(archive: str, target: str, max_files: int = 100_000) -> str:
-    """Extract an archive below a folder, refusing members that would leave it; returns the folder."""
+def unzip(archive: str, target: str) -> str:
+    """Extract an archive below a folder that executors share, refusing members that would leave it; returns the folder."""
     with zipfile.ZipFile(archive) as z:
-        names = z.namelist()
-        if len(names) > max_files:
-            raise ValueError("too many members")
-        for n in names:
+        for n in z.namelist():
             if not n.endswith("/"):
                 p = safe_path(n)
                 if p is None:
@@ -81,7 +109,7 @@ def unzip(archive: str, target: str, max_files: int = 100_000) -> str:
                 full = os.path.join(target, p)
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 with z.open(n) as src, open(full, "wb") as dst:
-                    dst.write(src.read())
+                    shutil.copyfileobj(src, dst)
     return target
 
 
