@@ -302,7 +302,7 @@ def segment_contents(spark, d):
 
 
 # ------------------------------------------------------------------------------------ snapshots, graph, summaries
-@query("snapshot_stats", _STATES + ", k AS (SELECT c.path, change, CASE WHEN f.content IS NULL THEN 0 ELSE len(list_filter(string_split(f.content, chr(10)), lambda x: NOT starts_with(x, '--'))) END AS n FROM c LEFT JOIN f ON f.path = c.path) SELECT count(*) AS files, sum(CASE change WHEN 'modified' THEN 1 ELSE 0 END)::BIGINT AS additions, sum(CASE change WHEN 'deleted' THEN n ELSE 0 END)::BIGINT AS deletions, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'renamed') AS renamed FROM k WHERE change <> 'added'")
+@query("snapshot_stats", _STATES + ", k AS (SELECT c.path, change, CASE WHEN f.content IS NULL THEN 0 ELSE len(list_filter(string_split(f.content, chr(10)), lambda x: NOT starts_with(x, '--'))) END AS n, f.content IS NULL AS missing FROM c LEFT JOIN f ON f.path = c.path) SELECT count(*) AS files, sum(CASE WHEN change = 'modified' THEN CASE WHEN missing THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS additions, sum(CASE change WHEN 'deleted' THEN n ELSE 0 END)::BIGINT AS deletions, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'renamed') AS renamed FROM k WHERE change <> 'added'")
 def snapshot_stats(spark, d):
     """Sums over the changed files, added ones left out, which the test states make of empty files only."""
     rows = diff.rows(*_states(spark, d, contents=True), binaries=True).filter("change <> 'added'")
@@ -366,3 +366,67 @@ def rendered_xml_roundtrip(spark, d):
 @query("rendered_text", f"WITH {FILES}, c AS (SELECT repo, path, coalesce(content, '') AS content, row_number() OVER (PARTITION BY repo ORDER BY path, file_id) AS n, count(*) OVER (PARTITION BY repo) AS total, coalesce({LANG}, 'unknown') AS language, {LINE_COUNT} AS lines, {BYTES} AS b FROM f) SELECT repo, path, sha256(repeat('=', 80) || chr(10) || 'FILE ' || n || '/' || total || ': ' || path || chr(10) || language || ', ' || lines || ' lines, ' || CASE WHEN b < 1024 THEN printf('%d B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END || chr(10) || repeat('=', 80) || chr(10) || content || chr(10)) AS h FROM c")
 def rendered_text(spark, d):
     return render.chunks(_files(spark, d), "text").select("repo", "path", F.sha2("chunk", 256).alias("h"))
+
+
+# -------------------------------------------------------------------------------------------------- declarations
+def _declared(spark, d, language):
+    from corpusmill.operators import parse
+
+    return parse.declarations(_files(spark, d).filter(files.language_by_extension("path") == language)).select("file_id", "kind", "name", "start_line", "end_line", "parent", "signature", "docstring", "depth", "degraded")
+
+
+_HEADS = {
+    "go": ("go", "^(?:func\\s+(?:\\([^)]*\\)\\s*)?|type\\s+)([A-Za-z_]\\w*)"),
+    "rust": ("rs", "^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:(?:const|async|unsafe)\\s+)*(?:fn|struct|enum|trait|mod)\\s+([A-Za-z_]\\w*)|^\\s*impl(?:<[^>]*>)?\\s+(?:[\\w:<>]+\\s+for\\s+)?([A-Za-z_]\\w*)"),
+    "ruby": ("rb", "^\\s*(?:module|class|def)\\s+(?:self\\.)?([A-Za-z_]\\w*[?!=]?)"),
+    "python": ("py", "^\\s*(?:async\\s+)?(?:def|class)\\s+(\\w+)"),
+    "java": ("java", "^\\s*(?:(?:public|private|protected|static|final|abstract|sealed)\\s+)*(?:class|interface|enum)\\s+([A-Za-z_]\\w*)"),
+}
+
+
+def _heads(language, extra=""):
+    ending, regex = _HEADS[language]
+    groups = regex.count("([A-Za-z_]\\w*") + regex.count("(\\w+)")
+    name = f"regexp_extract(line, '{regex}', 1)" if groups == 1 else f"coalesce(nullif(regexp_extract(line, '{regex}', 1), ''), regexp_extract(line, '{regex}', 2))"
+    return f"{LINES}, h AS (SELECT file_id, {name} AS name, line_no::INT AS start_line FROM l WHERE ends_with(path, '.{ending}') AND regexp_matches(line, '{regex}')) SELECT file_id, name, start_line FROM h{extra}"
+
+
+for _language in ("go", "rust", "ruby", "python"):
+
+    def _query(spark, d, language=_language):
+        return _declared(spark, d, language).select("file_id", "name", "start_line")
+
+    query(f"{_language}_headers", _heads(_language))(_query)
+
+
+@query("java_types", _heads("java"))
+def java_types(spark, d):
+    return _declared(spark, d, "java").filter(F.col("kind").isin("class", "interface", "enum")).select("file_id", "name", "start_line")
+
+
+@query("go_blocks", f"{LINES}, h AS (SELECT file_id, line_no::INT AS start_line, line FROM l WHERE ends_with(path, '.go') AND regexp_matches(line, '^func\\s+(?:\\([^)]*\\)\\s*)?[A-Za-z_]\\w*')), e AS (SELECT file_id, line_no::INT AS n FROM l WHERE ends_with(path, '.go') AND rtrim(line, chr(13)) = '}}'), t AS (SELECT file_id, max(line_no)::INT AS total FROM l GROUP BY 1) SELECT h.file_id, start_line, coalesce(min(n), any_value(total)) AS end_line FROM h JOIN t USING (file_id) LEFT JOIN e ON e.file_id = h.file_id AND e.n > h.start_line GROUP BY 1, 2")
+def go_blocks(spark, d):
+    """Where the body of each function ends: by its braces."""
+    return _declared(spark, d, "go").filter(F.col("kind").isin("function", "method") & (F.col("end_line") > F.col("start_line"))).select("file_id", "start_line", "end_line")
+
+
+@query("go_documented", f"{LINES}, h AS (SELECT file_id, line_no FROM l WHERE ends_with(path, '.go') AND regexp_matches(line, '^(?:func\\s+(?:\\([^)]*\\)\\s*)?|type\\s+)[A-Za-z_]\\w*')) SELECT h.file_id, h.line_no::INT AS start_line FROM h JOIN l ON l.file_id = h.file_id AND l.line_no = h.line_no - 1 WHERE regexp_matches(l.line, '^\\s*//+\\s*\\S') OR regexp_matches(l.line, '\\*/\\s*$')")
+def go_documented(spark, d):
+    """Declarations with a comment that ends directly above them."""
+    return _declared(spark, d, "go").filter("docstring is not null").select("file_id", "start_line")
+
+
+_NEEDS = {
+    "java": ("java", "(?m)^[ \\t]*import[ \\t]+(?:static[ \\t]+)?([\\w.]+(?:\\.\\*)?)"),
+    "rust": ("rs", "(?m)^[ \\t]*(?:pub[ \\t]+)?use[ \\t]+([\\w:]+)"),
+    "ruby": ("rb", "(?m)^[ \\t]*require(?:_relative)?[ \\t]*\\(?[''\"]([^''\"\\n]+)[''\"]"),
+    "c": ("c", "(?m)^[ \\t]*#[ \\t]*include[ \\t]*[<\"]([^>\"\\n]+)[>\"]"),
+}
+for _language, (_ending, _regex) in _NEEDS.items():
+
+    def _query(spark, d, language=_language):
+        from corpusmill.operators import parse
+
+        return parse.imports(_files(spark, d).filter(files.language_by_extension("path") == language)).select("file_id", "import")
+
+    query(f"{_language}_imports", f"WITH {FILES} SELECT DISTINCT file_id, unnest(regexp_extract_all(ltrim(content, chr(65279)), '{_regex}', 1)) AS import FROM f WHERE ends_with(path, '.{_ending}')")(_query)
