@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import render
+from corpusmill.operators import files as K
+from corpusmill.operators import parse, render
 from corpusmill.plans import pipeline
 from corpusmill.session import local_session, ship
-from corpusmill.sources import trees
+from corpusmill.sources import git, trees
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("target")
     run.add_argument("--format", choices=render.FORMATS, default="markdown")
     run.add_argument("--preset", choices=sorted(pipeline.PRESETS))
+    run.add_argument("--config", help="a file of settings, JSON or YAML")
+    run.add_argument("--include", action="append", default=[])
+    run.add_argument("--whole", action="store_true", help="with head, contents, tree and indexes")
     run.add_argument("--exclude", action="append", default=[])
     run.add_argument("--include-language", action="append", default=[])
     run.add_argument("--exclude-language", action="append", default=[])
@@ -31,6 +36,19 @@ def parser() -> argparse.ArgumentParser:
     back.add_argument("--format", choices=sorted(render.READERS), default="markdown")
     back.add_argument("--preview", type=int, default=0, help="only list so many files")
     sub.add_parser("formats")
+    sub.add_parser("languages", help="languages by ending, and which have a parser")
+    init = sub.add_parser("init", help="write a file of settings")
+    init.add_argument("target")
+    init.add_argument("--preset", choices=sorted(pipeline.PRESETS), default="medium")
+    check = sub.add_parser("validate", help="check a file of settings and say where each comes from")
+    check.add_argument("source")
+    sides = sub.add_parser("diff", help="what changed between two Git references of a repository")
+    sides.add_argument("repository")
+    sides.add_argument("old")
+    sides.add_argument("new")
+    sides.add_argument("--binaries", action="store_true")
+    look = sub.add_parser("diagnose", help="what the parsers make of a directory")
+    look.add_argument("source")
     return p
 
 
@@ -39,11 +57,31 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "formats":
         print(*render.FORMATS, sep="\n")
         return 0
+    if a.command == "languages":
+        for ending, language in sorted(K.EXTENSIONS.items()):
+            print(ending, language, "parsed" if language == "python" or language in parse.PATTERNS else "text")
+        return 0
+    if a.command == "init":
+        with open(a.target, "x", encoding="utf-8") as f:
+            json.dump({"format": "markdown", **pipeline.PRESETS[a.preset], "excludes": [], "includes": []}, f, indent=2)
+        return 0
+    if a.command == "validate":
+        for name, source in pipeline.Spec.from_file(a.source).provenance:
+            print(f"{name}: {source}")
+        return 0
     spark = local_session()
     ship(spark)
+    if a.command == "diff":
+        git.changes(spark, a.repository, a.old, a.new, a.binaries).select("path", "change", "old_path", "additions", "deletions").orderBy("path").show(1000, truncate=False)
+        return 0
+    if a.command == "diagnose":
+        parse.compared(parse.parses(trees.read_tree(spark, a.source))).orderBy("parser_type").show(truncate=False)
+        return 0
     if a.command == "run":
-        options = {"format": a.format, "excludes": tuple(a.exclude), "include_languages": tuple(a.include_language), "exclude_languages": tuple(a.exclude_language)}
-        document = pipeline.run(trees.read_tree(spark, a.source), pipeline.Spec.of(a.preset, **options))
+        options = {"format": a.format, "whole_document": a.whole}
+        options |= {k: tuple(v) for k, v in (("excludes", a.exclude), ("includes", a.include), ("include_languages", a.include_language), ("exclude_languages", a.exclude_language)) if v}
+        spec = pipeline.Spec.from_file(a.config, a.preset, **options) if a.config else pipeline.Spec.of(a.preset, **options)
+        document = pipeline.run(trees.read_tree(spark, a.source), spec)
         render.write(document, a.target, a.parts, a.compression)
         return 0
     documents = spark.read.text(a.source, wholetext=True).select(F.col("value").alias("document"))

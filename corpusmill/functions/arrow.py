@@ -13,11 +13,15 @@ from pyspark.sql.types import StructType
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions to keep every core busy with costly kernels.
 
-    Only an input with fewer partitions than cores is shuffled, which no large one is: there, tasks are
-    the scan's own splits (spark.sql.files.maxPartitionBytes).
+    Only a scan with fewer partitions than cores is shuffled, which no large one is: there, tasks are the
+    scan's own splits (spark.sql.files.maxPartitionBytes). What comes out of a shuffle has the partitions that
+    adaptive execution gives it, and asking for their number would run it; it is left alone.
     """
+    execution = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in execution.executedPlan().getClass().getName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def map_columns(df: DataFrame, columns: Sequence[str], kernel: Callable[..., Sequence[list]], schema: str | StructType, costly: bool = False) -> DataFrame:

@@ -81,8 +81,10 @@ def declarations(files: DataFrame) -> DataFrame:
 
 
 def parses(results: DataFrame, declared: DataFrame) -> DataFrame:
-    """Distinct parser rows with the declarations and imports found for their file, and their confidence."""
-    p = results.select("file_id", "parser_ord", "parser_type", "parser_quality", "error", "missed_features", "confidence_score").dropDuplicates(["file_id", "parser_ord", "parser_type"])
+    """The newest row of each parser and file with the declarations and imports found for their file, and their confidence."""
+    said = ["parser_quality", "error", "missed_features", "confidence_score"]
+    newest = F.struct(*(["parsed_at"] if "parsed_at" in results.columns else []), *said)
+    p = results.groupBy("file_id", "parser_ord", "parser_type").agg(F.max(newest).alias("x")).select("file_id", "parser_ord", "parser_type", *(F.col("x")[c].alias(c) for c in said))
     j = p.join(declared, "file_id", "left").fillna(0, ["declarations", "complete", "imports"])
     missed = F.size(F.coalesce("missed_features", F.array().cast("array<string>")))
     own = confidence(F.coalesce("parser_quality", F.lit("unknown")), F.col("error"), F.col("declarations"), F.col("complete"), F.col("imports"), missed)

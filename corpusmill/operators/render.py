@@ -162,35 +162,36 @@ def document(files: DataFrame, kind: str, title: str = "Corpus report", listed:
     Parts: 0 head and statistics, 1 contents, 2 directory tree, 3 index of files, 4 files, 5 relationships,
     6 indexes, 7 foot. Files are in order of path over the whole corpus.
     """
-    one = files.withColumn("repo", F.lit(""))
-    per = K.once(files, "path", T.line_count("content").alias("lines"), F.octet_length(F.coalesce("content", F.lit(""))).cast("bigint").alias("bytes"))
-    stats = K.stats(files)
+    one, base = files.withColumn("repo", F.lit("")), files if listed is None else listed
+    fixed = files.sparkSession.range(1)
+    per = K.once(base, "path", T.line_count("content").alias("lines"), F.octet_length(F.coalesce("content", F.lit(""))).cast("bigint").alias("bytes"))
+    stats = K.stats(base)
     body = _part(chunks(one, kind, None if listed is None else listed.withColumn("repo", F.lit(""))), 4, F.col("chunk"), path="path")
     tree = K.drawn_tree(per)
-    edges = graph.edges(one)
+    edges = graph.edges(base.withColumn("repo", F.lit("")))
     if kind == "markdown":
         rows = [(k, F.col(k)) for k in ("files", "lines", "bytes", "languages", "average_size", "source_files", "doc_files")]
         head = _part(stats, 0, F.concat(F.lit(f"# {title}\n\n**Files**: "), F.col("files").cast("string"), F.lit("\n\n| metric | value |\n| --- | --- |\n"), F.concat_ws("\n", *(F.concat(F.lit(f"| {k} | "), c.cast("string"), F.lit(" |")) for k, c in rows)), F.lit("\n\n## Contents {#contents}\n")), F.lit(0))
         toc = _part(order.ranked(per.select("path", "file_id", F.lit("").alias("g")), ["g"], ["path", "file_id"]), 1, F.concat(F.lit("- ["), F.col("n").cast("string"), F.lit(". "), F.col("path"), F.lit("](#"), T.anchor("path"), F.lit(")")))
-        drawn = _part(tree, 2, F.col("line"), F.lit(1), "node").unionByName(_part(stats, 2, F.lit("\n## Directory structure\n\n<details>\n\n```"), F.lit(0))).unionByName(_part(stats, 2, F.lit("```\n</details>\n"), F.lit(2)))
+        drawn = _part(tree, 2, F.col("line"), F.lit(1), "node").unionByName(_part(fixed, 2, F.lit("\n## Directory structure\n\n<details>\n\n```"), F.lit(0))).unionByName(_part(fixed, 2, F.lit("```\n</details>\n"), F.lit(2)))
         grouped = order.ranked(per.withColumn("category", T.category("path")), ["category"], ["path", "file_id"])
         index = _part(grouped, 3, F.concat(F.when(F.col("n") == 1, F.concat(F.lit("\n### "), F.initcap("category"), F.lit("\n\n| # | file | size |\n| --- | --- | --- |\n"))).otherwise(""), F.lit("| "), F.col("n").cast("string"), F.lit(" | ["), F.col("path"), F.lit("](#"), T.anchor("path"), F.lit(") | "), T.human_size("bytes"), F.lit(" |")), F.lit(1), F.concat("category", F.lit("\x00"), "path"))
-        opened = _part(stats, 3, F.lit("\n## File index\n"), F.lit(0)).unionByName(_part(stats, 4, F.lit("\n## Files\n"), F.lit(0)))
-        uses = _part(stats, 5, F.lit("\n## Relationships\n"), F.lit(0)).unionByName(_part(edges, 5, F.concat(F.lit("- `"), F.col("path"), F.lit("` → `"), F.col("import"), F.lit("`")), F.lit(1), F.concat("path", F.lit("\x00"), "import")))
+        opened = _part(fixed, 3, F.lit("\n## File index\n"), F.lit(0)).unionByName(_part(fixed, 4, F.lit("\n## Files\n"), F.lit(0)))
+        uses = _part(fixed, 5, F.lit("\n## Relationships\n"), F.lit(0)).unionByName(_part(edges, 5, F.concat(F.lit("- `"), F.col("path"), F.lit("` → `"), F.col("import"), F.lit("`")), F.lit(1), F.concat("path", F.lit("\x00"), "import")))
         parts = [head, toc, drawn, index, opened, body, uses]
     elif kind == "text":
         bar = "=" * 80
         head = _part(stats, 0, F.concat(F.lit(f"{bar}\n{title}\n{bar}\nfiles: "), F.col("files").cast("string"), F.lit("\nlines: "), F.col("lines").cast("string"), F.lit("\nsize: "), T.human_size("bytes"), F.lit("\nlanguages: "), F.col("languages").cast("string"), F.lit("\n\nDIRECTORY TREE\n")), F.lit(0))
-        toc = _part(stats, 3, F.lit("\nFILE INDEX\n"), F.lit(0)).unionByName(_part(order.ranked(per.select("path", "file_id", F.lit("").alias("g")), ["g"], ["path", "file_id"]), 3, F.concat(F.format_string("%6d. ", F.col("n")), F.col("path"))))
+        toc = _part(fixed, 3, F.lit("\nFILE INDEX\n"), F.lit(0)).unionByName(_part(order.ranked(per.select("path", "file_id", F.lit("").alias("g")), ["g"], ["path", "file_id"]), 3, F.concat(F.format_string("%6d. ", F.col("n")), F.col("path"))))
         parts = [head, _part(tree, 2, F.col("line"), F.lit(1), "node"), toc, body]
     elif kind == "xml":
         head = _part(stats, 0, F.concat(F.lit(f"<repository><title>{title}</title><statistics>"), *(F.concat(F.lit(f"<{k}>"), F.col(k).cast("string"), F.lit(f"</{k}>")) for k in ("files", "lines", "bytes", "languages")), F.lit("</statistics><files>")), F.lit(0))
-        shut = _part(stats, 5, F.lit("</files><relationships>"), F.lit(0)).unionByName(_part(stats, 7, F.lit("</relationships></repository>"), F.lit(0)))
+        shut = _part(fixed, 5, F.lit("</files><relationships>"), F.lit(0)).unionByName(_part(fixed, 7, F.lit("</relationships></repository>"), F.lit(0)))
         uses = _part(edges, 5, F.concat(F.lit('<imports file="'), _xml(F.col("path")), F.lit('" name="'), _xml(F.col("import")), F.lit('"/>')), F.lit(1), F.concat("path", F.lit("\x00"), "import"))
         parts = [head, body, uses, shut]
     else:
         numbers = F.to_json(F.struct(F.col("files").alias("total_files"), F.col("lines").alias("total_lines"), F.col("bytes").alias("total_bytes"), F.col("languages").alias("unique_languages"), F.col("average_size").alias("average_file_size")))
-        cats = K.category_counts(files)
+        cats = K.category_counts(base)
         counted = stats.join(F.broadcast(cats))
         head = _part(counted, 0, F.concat(F.lit('{"metadata":{"version":"2.0","title":'), _quoted(F.lit(title)), F.lit(',"config":{"format":"json","sorting_enabled":true}},"statistics":'), numbers, F.lit(',"repository":{"file_count":'), F.col("files").cast("string"), F.lit(',"categories":'), F.to_json(F.struct(*cats.columns)), F.lit('},"files":[')), F.lit(0))
         rows = body.withColumn("chunk", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "chunk"))
@@ -200,12 +201,12 @@ def document(files: DataFrame, kind: str, title: str = "Corpus report", listed:
         lists = _members(each, F.concat(F.when(F.col("key_n") > 1, ",").otherwise(""), _quoted(F.col("key")), F.lit(":[")), "json", F.lit(","))
 
         def section(df: DataFrame, part: int, names: tuple[str, ...], before: str, after: str) -> list[DataFrame]:
-            out = [_part(stats, part, F.lit(before), F.lit(0))]
+            out = [_part(fixed, part, F.lit(before), F.lit(0))]
             for k, name in enumerate(names):
-                out.append(_part(stats, part, F.lit(("," if k else "") + f'"{name}":' + "{"), F.lit(3 * k + 1)))
+                out.append(_part(fixed, part, F.lit(("," if k else "") + f'"{name}":' + "{"), F.lit(3 * k + 1)))
                 out.append(df.filter(F.col("index") == name).select(F.lit(part).alias("part"), F.lit(3 * k + 2).cast("bigint").alias("n"), F.format_string("%012d:%012d", "key_n", "n").alias("path"), "chunk"))
-                out.append(_part(stats, part, F.lit("}"), F.lit(3 * k + 3)))
-            return [*out, _part(stats, part, F.lit(after), F.lit(3 * len(names) + 1))]
+                out.append(_part(fixed, part, F.lit("}"), F.lit(3 * k + 3)))
+            return [*out, _part(fixed, part, F.lit(after), F.lit(3 * len(names) + 1))]
 
         with_ = []
         for name, column in (("with_issues", "found"), ("with_declarations", "declared")):
@@ -215,8 +216,8 @@ def document(files: DataFrame, kind: str, title: str = "Corpus report", listed:
         parts = [head, rows, *section(imports, 5, ("imported_by", "imports"), '],"relationships":{', "}"), *section(lists, 6, ("by_directory", "by_language", "by_type"), ',"indexes":{', "")]
         for k, w in enumerate(with_):
             name = "with_issues" if k == 0 and "found" in files.columns else "with_declarations"
-            parts += [_part(stats, 6, F.lit(f',"{name}":['), F.lit(20 + 3 * k)), w.select(F.lit(6).alias("part"), F.lit(21 + 3 * k).cast("bigint").alias("n"), "path", "chunk"), _part(stats, 6, F.lit("]"), F.lit(22 + 3 * k))]
-        parts.append(_part(stats, 7, F.lit("}}"), F.lit(0)))
+            parts += [_part(fixed, 6, F.lit(f',"{name}":['), F.lit(20 + 3 * k)), w.select(F.lit(6).alias("part"), F.lit(21 + 3 * k).cast("bigint").alias("n"), "path", "chunk"), _part(fixed, 6, F.lit("]"), F.lit(22 + 3 * k))]
+        parts.append(_part(fixed, 7, F.lit("}}"), F.lit(0)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

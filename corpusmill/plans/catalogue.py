@@ -506,6 +506,17 @@ def declarations_by_kind(spark, d):
     return parse.by_kind(parse.declarations(_files(spark, d)))
 
 
+@query("parser_chain")
+def parser_chain(spark, d):
+    """What each parser of the chain found over the whole corpus."""
+    return parse.compared(parse.parses(_files(spark, d)))
+
+
+@query("declaration_nesting")
+def declaration_nesting(spark, d):
+    return parse.nesting(parse.declarations(_files(spark, d)))
+
+
 @query("annotations")
 def annotations(spark, d):
     return parse.annotations(parse.declarations(_files(spark, d)))
@@ -527,6 +538,16 @@ def rendered_markdown(spark, d):
     return pipeline.run(_files(spark, d), pipeline.Spec.of("lean"))
 
 
+@query("document_markdown")
+def document_markdown(spark, d):
+    return render.document(_files(spark, d), "markdown")
+
+
+@query("document_json")
+def document_json(spark, d):
+    return render.document(scan.masked(_files(spark, d), hide=False), "json", listed=_files(spark, d))
+
+
 @query("rendered_xml")
 def rendered_xml(spark, d):
     return render.chunks(_files(spark, d), "xml")

@@ -176,3 +176,18 @@ def test_settings_in_layers(tmp_path):
     for bad in ({"nonsense": 1}, {"format": "pdf"}):
         with pytest.raises(ValueError):
             pipeline.Spec.of(None, **bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusmill.__main__ import main
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.py").write_text("def f():\n    return 1\n")
+    assert main(["formats"]) == 0 and main(["languages"]) == 0 and "py python parsed" in capsys.readouterr().out
+    assert main(["init", str(tmp_path / "c.json"), "--preset", "full"]) == 0 and main(["validate", str(tmp_path / "c.json")]) == 0
+    assert "level: " in capsys.readouterr().out
+    assert main(["diagnose", str(tmp_path / "s")]) == 0 and "syntax_tree" in capsys.readouterr().out
+    assert main(["run", str(tmp_path / "s"), str(tmp_path / "o"), "--config", str(tmp_path / "c.json"), "--whole"]) == 0
+    text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))
+    assert "# Corpus report" in text and "def f():" in text
+    assert main(["reconstruct", str(tmp_path / "o"), str(tmp_path / "b")]) == 0 and "written" in capsys.readouterr().out
