@@ -124,10 +124,11 @@ def _scores(batch: pa.RecordBatch, mean: np.ndarray, sharp: np.ndarray, prior: f
 class _Words:
     """What is known of words after a round."""
 
-    def __init__(self, buckets: int, rows: list, sharpness: float, softness: float) -> None:
+    def __init__(self, buckets: int, sums: DataFrame, sharpness: float, softness: float) -> None:
+        rows = sums.toArrow()  # at most one narrow row a place
+        at = rows["word"].to_numpy()
         c, s, s2 = np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
-        for r in rows:
-            c[r.word], s[r.word], s2[r.word] = r.c, r.s, r.s2
+        c[at], s[at], s2[at] = rows["c"].to_numpy(), rows["s"].to_numpy(), rows["s2"].to_numpy()
         self.count = c
         self.prior = float(s.sum() / c.sum()) if c.sum() else 0.0
         mean = (s + self.prior) / (c + 1)
@@ -183,14 +184,14 @@ def levels(documents: DataFrame, labels: DataFrame, max_rounds: int = 20, tolera
     lists = cut(word_lists(documents, buckets).join(grades, "doc_id", "left"))
     known = lists.filter("grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     examples = cut(known)
-    words = _Words(buckets, _sums(lists.filter("grade is not null"), None, None, graded_weight, buckets).collect(), sharpness, softness)
+    words = _Words(buckets, _sums(lists.filter("grade is not null"), None, None, graded_weight, buckets), sharpness, softness)
     if not words.count.any():
         return lists.select("doc_id", F.lit(0).alias("level"), F.lit(0.0).alias("score")).limit(0)
     for _ in range(max_rounds):
         shared = spark.sparkContext.broadcast((words.mean, words.sharp, words.prior))
         seen = _scored(examples, shared, "grade", "double").toPandas()
         cuts = thresholds(seen["g"].to_numpy(float), seen["grade"].to_numpy(float))
-        after = _Words(buckets, _sums(lists, shared, cuts, graded_weight, buckets).collect(), sharpness, softness)
+        after = _Words(buckets, _sums(lists, shared, cuts, graded_weight, buckets), sharpness, softness)
         still = after.moved(words) <= tolerance
         words = after
         if still:
