@@ -23,6 +23,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,12 +151,27 @@ class Model:
 _WORD = re.compile(r"\w+")
 
 
-def shingles(text: str, size: int = 5) -> set[int]:
-    """Hashes of runs of words that are the same on every machine."""
-    import xxhash
+_WORDS: dict[str, int] = {}
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(5)], dtype=np.uint64)
 
-    w = _WORD.findall(text)
-    return {xxhash.xxh64_intdigest(" ".join(w[i : i + size])) for i in range(len(w) - size + 1)}
+
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of runs of five words, sorted; the same on every machine. Hashes of words are remembered."""
+    ids = []
+    for w in _WORD.findall(text):
+        h = _WORDS.get(w)
+        if h is None:
+            if len(_WORDS) > 200_000:
+                _WORDS.clear()
+            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
+        ids.append(h)
+    if len(ids) < 5:
+        return np.empty(0, dtype=np.uint64)
+    v = np.array(ids, dtype=np.uint64)
+    n = len(v) - 4
+    with np.errstate(over="ignore"):
+        mixed = sum((v[k : n + k] ^ np.uint64(k)) * _FACTORS[4 - k] for k in range(5))
+    return np.unique(mixed)
 
 
 #: How a banner of a generator begins, in several languages. Matched at the start of a comment line.
@@ -170,9 +187,15 @@ _BANNER = re.compile(
 _HEAD = re.compile(r"(?:\s+|(?:import|from|package|use|extern|require|require_relative|using|include|module|frozen_string_literal)\b[^\n(]*(?:\([^)]*\))?[^\n]*(?:\n|$)|\#\s*(?:include|pragma|ifndef|define)\b[^\n]*(?:\n|$)|\#![^\n]*|\"+;?|'+;?)*+")
 
 
+#: One of these stands in every banner.
+_BANNER_WORDS = ("generat", "produced", "machine", "automati", "maschinell", "generiert", "erzeugt", "autom", "автомат", "программ", "自动生成", "自動生成")
+_BANNER_SPACED = re.compile(r"do\s+not\s+(?:modify|edit|change|touch)|output\s+of|source\s+of\s+truth")
+
+
 def banner(language: str, text: str, spans: list[tuple[int, int, str]]) -> bool:
     """Whether a comment before a file's first own code, or after its last, says that a program wrote it."""
-    if not any(k in "#*" for *_, k in spans):
+    low = text.lower()
+    if not any(w in low for w in _BANNER_WORDS) and not _BANNER_SPACED.search(low) or not any(k in "#*" for *_, k in spans):
         return False
     code = functions.masked(text, spans)
     head, foot = _HEAD.match(code).end(), len(code.rstrip())
@@ -211,7 +234,7 @@ def data_share(text: str, code: str, spans: list[tuple[int, int, str]]) -> tuple
     return min(1.0, (sum(strings) + sum(numbers) + bare) / rest) if rest else 0.0, len(strings) + len([x for x in numbers if x])
 
 
-def judge(language: str, text: str, model: Model, upstream: dict[int, list[int]], sizes: dict[int, int]) -> tuple:
+def judge(language: str, text: str, model: Model, upstream: Shared) -> tuple:
     """(entropy, diversity, foreign style, upstream id, contained, verdict, signal) of a file."""
     if _binary(text):
         return 0.0, 1.0, 0.0, None, 0.0, None, None
@@ -222,13 +245,10 @@ def judge(language: str, text: str, model: Model, upstream: dict[int, list[int]]
     stems = {_NUMBERED.sub("#", n) for n in names}
     literals = len(_LITERALS.findall(code)) + sum(1 for *_, k in spans if k in "\"'/")
     diversity = len(stems) / max(1, len(all_names) + literals)
-    own = shingles(text)
-    hits: Counter = Counter(k for s in own for k in upstream.get(s, ()))
-    best, shared = hits.most_common(1)[0] if hits else (None, 0)
-    contained = shared / len(own) if own else 0.0
+    best, shared, contained = nearest(shingles(text), upstream)
     verdict = signal = None
     prose_like = language in ("json", "yaml")
-    if best is not None and contained >= CONTAINED and shared >= COVERED * sizes[best]:
+    if best is not None and contained >= CONTAINED and shared >= COVERED * upstream.sizes[best]:
         verdict, signal = "vendored", "shared text"
     elif not prose_like and model.mangled(language, entropy) and _dense(text, code, names):
         verdict, signal = "minified", "entropy"
@@ -239,6 +259,34 @@ def judge(language: str, text: str, model: Model, upstream: dict[int, list[int]]
     return entropy, diversity, style, best if contained >= CONTAINED else None, contained, verdict, signal
 
 
+class Shared:
+    """Shingles of upstream files, sorted, with the files that hold each."""
+
+    def __init__(self, rows) -> None:
+        index: dict[int, list[int]] = {}
+        self.sizes: dict[int, int] = {}
+        for r in rows:
+            own = shingles(syntax.plain(r.content))
+            self.sizes[r.upstream_id] = len(own)
+            for x in own.tolist():
+                index.setdefault(x, []).append(r.upstream_id)
+        self.keys = np.array(sorted(index), dtype=np.uint64)
+        self.held = [index[k] for k in self.keys.tolist()]
+
+
+def nearest(own: np.ndarray, upstream: Shared) -> tuple[int | None, int, float]:
+    """(upstream file that shares most, how many shingles, their part of the file's own); the lower id of equal ones."""
+    if not len(own) or not len(upstream.keys):
+        return None, 0, 0.0
+    at = np.searchsorted(upstream.keys, own)
+    at[at == len(upstream.keys)] = 0
+    hits: Counter = Counter(k for i in at[upstream.keys[at] == own].tolist() for k in upstream.held[i])
+    if not hits:
+        return None, 0, 0.0
+    best = min(hits, key=lambda k: (-hits[k], k))
+    return best, hits[best], hits[best] / len(own)
+
+
 def _repeats(language: str, text: str, code: str, spans: list[tuple[int, int, str]], all_names: list[str], names: set[str], stems: set[str]) -> str | None:
     """What a file of low diversity is: a lock, data, or functions from a template."""
     if language in ("json", "yaml"):
@@ -269,25 +317,13 @@ def _data_only(text: str, code: str, spans: list[tuple[int, int, str]], names: l
 _SCORES = "repo string, language string, entropy double, diversity double, foreign double, upstream_id int, contained double, verdict string, signal string"
 
 
-def _index(rows) -> tuple[dict[int, list[int]], dict[int, int]]:
-    """Shingle -> upstream files, and the number of shingles of each."""
-    index: dict[int, list[int]] = {}
-    sizes: dict[int, int] = {}
-    for r in rows:
-        own = shingles(syntax.plain(r.content))
-        sizes[r.upstream_id] = len(own)
-        for x in own:
-            index.setdefault(x, []).append(r.upstream_id)
-    return index, sizes
-
-
 def blocks(upstream: DataFrame, block_chars: int = BLOCK_CHARS):
     """The upstream list in blocks of bounded size; how many is known before anything is collected."""
     listed = upstream.select("upstream_id", "content").filter("content is not null")
     total = listed.agg(F.sum(F.length("content"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     for k in range(n):
-        yield _index((listed.filter(F.pmod(F.xxhash64("upstream_id"), F.lit(n)) == k) if n > 1 else listed).collect())
+        yield Shared((listed.filter(F.pmod(F.xxhash64("upstream_id"), F.lit(n)) == k) if n > 1 else listed).collect())
 
 
 def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -299,12 +335,12 @@ def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, bl
     trained = context.broadcast(model)
 
     def kernel(repos, paths, contents):
-        m, (up, n) = trained.value, first.value
+        m, up = trained.value, first.value
         out: list[list] = [[] for _ in range(9)]
         for repo, path, content in zip(repos, paths, contents):
             language = lexers.language_of(path)
             told = language is not None and content is not None and bool((text := syntax.plain(content)).strip())
-            row = (repo, language, *judge(language, text, m, up, n)) if told else (None,) * 9
+            row = (repo, language, *judge(language, text, m, up)) if told else (None,) * 9
             for c, v in zip(out, row):
                 c.append(v)
         return out
@@ -313,14 +349,12 @@ def scored(files: DataFrame, upstream: DataFrame, model: Model | None = None, bl
     for other in others:  # more upstream texts than one block holds: each further block is one more pass
 
         def copied(paths, contents, other=other):
-            up, n = other.value
+            up = other.value
             out: list[list] = [[], [], []]
             for path, content in zip(paths, contents):
-                own = shingles(syntax.plain(content)) if content and lexers.language_of(path) and not _binary(content) else set()
-                hits: Counter = Counter(k for s in own for k in up.get(s, ()))
-                best, shared = hits.most_common(1)[0] if hits else (None, 0)
-                c = shared / len(own) if own else 0.0
-                for o, v in zip(out, (best if c >= CONTAINED else None, c, best is not None and c >= CONTAINED and shared >= COVERED * n[best])):
+                own = shingles(syntax.plain(content)) if content and lexers.language_of(path) and not _binary(content) else np.empty(0, dtype=np.uint64)
+                best, shared, c = nearest(own, up)
+                for o, v in zip(out, (best if c >= CONTAINED else None, c, best is not None and c >= CONTAINED and shared >= COVERED * up.sizes[best])):
                     o.append(v)
             return out
 
