@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import rules as R
 from corpusmill.functions.arrow import map_rows
+from corpusmill.functions.arrow import spread as scattered
 from corpusmill.operators import files as K
 from corpusmill.operators import parse
 
@@ -253,7 +254,7 @@ def summary(files: DataFrame, **options) -> DataFrame:
 
 def table_marks(files: DataFrame, issues: DataFrame | None = None, declarations: DataFrame | None = None) -> DataFrame:
     """``files`` with issues from (file_id, line_number, severity) and starts from (file_id, start_line): one narrow row a file on the joined side."""
-    out = files
+    out = scattered(files)  # before the joins, whose partitions are left to adaptive execution
     if issues is not None:
         per = issues.filter("line_number is not null").groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct(F.col("line_number").alias("line_no"), "severity"))).alias("issues"))
         out = out.join(per, "file_id", "left")
