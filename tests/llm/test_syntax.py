@@ -1,5 +1,7 @@
 """Grammars on valid and broken fixtures of every language."""
 
+import sys
+
 import pytest
 
 from corpusmill.llm import lexers, syntax
@@ -90,6 +92,22 @@ def test_wrong_endings_are_recognised():
             assert syntax.foreign("json", texts[0]) == language
 
 
+@pytest.mark.parametrize("text", ["a: [1, 2\n", "a: 1\n"])
+def test_yaml_without_its_library_is_an_error(monkeypatch, text):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(ImportError):
+        syntax.valid("yaml", text)
+    with pytest.raises(ImportError):
+        syntax.foreign("json", text)
+
+
+def test_odd_yaml_is_decided():
+    assert not syntax.valid("yaml", 'a: "\\UFFFFFFFF"\n') and syntax.valid("yaml", 'a: "\\U0010FFFF"\n')
+    assert not syntax.valid("yaml", f"%YAML 1.{'9' * 5000}\n---\na\n")
+    deep = "[\n" * 3000 + "%s" + "]\n" * 3000
+    assert syntax.valid("yaml", deep % "a b") and not syntax.valid("yaml", deep % "a: b: c") and not syntax.valid("yaml", deep % "}")
+
+
 def test_operator(spark, files):
     df = files((1, "a.py", "def f(:\n"), (1, "a.py", "def f(:\n"), (2, "a.js", VALID["go"][0]), (3, "b.py", None), (4, "c.py", " \n"), (5, "d.txt", "x"), (6, "e.rb", "x = 1\n"), (7, None, "x"), (8, "f.json", "x" * 300_000))
     got = {r.file_id: (r.valid, r.parsed_as) for r in syntax.parsed(df).collect()}
